@@ -10,8 +10,9 @@ patterns say) against ordinary tokens and made-up numbers in the same contexts,
 word that announces them, from at
 most ``max_docs`` documents with a finding and as many without (smallest hash of the id
 first; the only bounded step).  A quarter of them is held back, to fit a slope and an
-offset to the scores (Platt), and to choose the threshold: the highest that still finds
-``recall`` of the held-back secrets, and at least ``floor``.
+offset to the scores (Platt), and to choose the threshold: one half, or as far below it
+as finding ``recall`` of the held-back secrets that no word announces asks for, though
+not below ``floor``.
 
 Nulls: a null text counts as empty; a null id is carried through.  Rows that repeat are
 scanned each.  Offsets are code points, ends exclusive.  Other columns are ignored.  An
@@ -131,7 +132,8 @@ class Network:
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, floor: float) -> None:
         """Platt's slope and offset by Newton steps, then the recall-constrained threshold."""
         z = self.logits(x)
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        n = (y > 0).sum()
+        target = np.where(y > 0, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
             s = 1 / (1 + np.exp(-np.clip(a * z + b, -50, 50)))
@@ -146,11 +148,13 @@ class Network:
             b += float(np.clip(-(haa * gb - hab * ga) / det, -0.5, 0.5))
         if a > 0:
             self.slope, self.offset = float(a), float(b)
-        found = np.sort(self.score(x[y == 1]))[::-1]
-        self.threshold = max(floor, float(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) if len(found) else 2.0)
+        found = np.sort(self.score(x[y == 2]))[::-1]  # the kind that candidates are
+        wanted = float(found[max(0, int(np.ceil(recall * len(found))) - 1)]) if len(found) else 2.0
+        self.threshold = max(floor, min(0.5, wanted)) if len(found) else 2.0
 
 
 def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], list[int]]:
+    """Pictures and labels: 0 ordinary, 1 a finding, 2 a finding that nothing before it announces."""
     base = base_spans(text)
     x, y = [], []
     for s, kind, e in base:
@@ -162,7 +166,7 @@ def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], li
         at = int(rng.integers(0, max(1, len(text) - 60)))
         bare = text[at : at + 40].rsplit(" ", 1)[0] + " "
         x.append(picture(bare + text[s:e] + " " + text[at + 40 : at + 80], len(bare), len(bare) + e - s))
-        y.append(1)
+        y.append(2)
     plain = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     for i in rng.permutation(len(plain))[: 4 + 2 * len(base)].tolist():
         s, e = plain[i]
@@ -176,7 +180,7 @@ def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], li
     return x, y
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, recall: float = 0.95, floor: float = 0.5) -> Network:
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, recall: float = 0.95, floor: float = 0.1) -> Network:
     """A network from at most ``max_docs`` documents that look like they hold findings and as many others.
 
     Of the texts, those of more than 20,000 characters are not learnt from (they are scanned).
@@ -191,11 +195,11 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
         x += a
         y += b
     net = Network()
-    if sum(y) < 20 or sum(y) == len(y):
+    x, y = np.array(x), np.array(y)
+    back = rng.random(len(y)) < 0.25
+    if min((y[back] == 2).sum(), (y[~back] > 0).sum(), (y[back] == 0).sum()) < 5:
         return net
-    x, y = np.array(x), np.array(y, dtype=np.float64)
-    back = rng.random(len(x)) < 0.25
-    net.train(x[~back], y[~back])
+    net.train(x[~back], (y[~back] > 0).astype(np.float64))
     net.calibrate(x[back], y[back], recall, floor)
     return net
 
