@@ -1,4 +1,574 @@
-"""Registered queries of the library's operators, and their SQL."""
+"""Registered queries of the library's operators, and the same in SQL.
+
+Every query runs over whole tables; a limit stands only where it is the feature (a top-k, a
+page).  The SQL names fixture views, which are put in front of it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .fixtures import table, view, with_views
+from .functions import identifiers as ids
+from .functions import text as tx
+from .operators import library, notes, ranking, search, sessions, store, tree
+from .plans import transform, views
+from .sources import records, resolvers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None, using: tuple[str, ...] = ()):
+    """Registers a query and its SQL over the fixture views that it uses."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = with_views(sql, *using) if using else sql
+        return f
+
+    return add
+
+
+# Sources: summary, rankings, searches ---------------------------------------------------------------
+
+
+@query(
+    """SELECT count(*) AS sources, count(*) FILTER (source_type = 'journal') AS journals, count(*) FILTER (source_type = 'conference') AS conferences,
+  count(*) FILTER (is_oa) AS open_access, CAST(coalesce(sum(works_count), 0) AS BIGINT) AS works, CAST(coalesce(sum(cited_by_count), 0) AS BIGINT) AS citations FROM sources""",
+    using=("sources",),
+)
+def source_overview(spark, d):
+    return ranking.overview(view(spark, d, "sources"))
+
+
+RANKED = ", ".join(ranking.RANKED)
+METRIC_SQL = {"works": "works_count", "cited": "cited_by_count", "h": "h_index", "i10": "i10_index", "mean": "mean_citedness_2yr", "citations_per_work": "CAST(cited_by_count AS DOUBLE) / nullif(works_count, 0)", "oa_rate": "CAST(oa_works_count AS DOUBLE) / nullif(works_count, 0)"}
+METRIC_OF = {"works": "works_count", "cited": "cited_by_count", "h": "h_index", "i10": "i10_index", "mean": "mean_citedness_2yr"}
+
+
+def _rank(short: str) -> None:
+    sql = f"SELECT {RANKED}, {METRIC_SQL[short]} AS metric_value FROM sources WHERE source_type = 'journal' ORDER BY metric_value DESC NULLS FIRST, openalex_id LIMIT 30"
+    query(sql, f"source_rank_{short}", ("sources",))(lambda spark, d: ranking.top_sources(view(spark, d, "sources"), METRIC_OF.get(short, short), 30))
+
+
+for _short in METRIC_SQL:
+    _rank(_short)
+
+SEARCHED = ", ".join(ranking.SEARCHED)
+SEARCHES = {
+    "all": ({}, "TRUE", 100, 0),
+    "country": ({"country": "in"}, "country_code = 'IN'", 100, 0),
+    "oa": ({"is_oa": True, "source_type": "conference"}, "is_oa AND source_type = 'conference'", 100, 0),
+    "text": ({"text": "PLIER#00000001"}, "contains(lower(display_name), lower('PLIER#00000001'))", 100, 0),
+    "page2": ({"limit": 20, "offset": 20}, "TRUE", 20, 20),
+}
+
+
+def _search(short: str) -> None:
+    args, where, limit, offset = SEARCHES[short]
+    query(f"SELECT {SEARCHED} FROM sources WHERE {where} ORDER BY openalex_id LIMIT {limit} OFFSET {offset}", f"source_search_{short}", ("sources",))(lambda spark, d: ranking.search_sources(view(spark, d, "sources"), **args))
+
+
+for _short in SEARCHES:
+    _search(_short)
+
+
+@query(f"SELECT display_name AS name, metric_value AS value FROM (SELECT {RANKED}, h_index AS metric_value FROM sources WHERE source_type = 'journal') ORDER BY metric_value DESC NULLS FIRST, openalex_id LIMIT 10", using=("sources",))
+def source_chart(spark, d):
+    return ranking.chart(ranking.top_sources(view(spark, d, "sources"), "h_index", 30))
+
+
+@query(
+    """SELECT openalex_id, display_name, source_type, issn_l, works_count, oa_works_count, cited_by_count, mean_citedness_2yr, h_index, i10_index, is_oa, is_in_doaj,
+  homepage_url, apc_usd, country_code FROM sources""",
+    using=("sources",),
+)
+def import_projection(spark, d):
+    s = view(spark, d, "sources")
+    stats = F.struct(F.col("mean_citedness_2yr").alias("2yr_mean_citedness"), "h_index", "i10_index").alias("summary_stats")
+    raw = s.select(F.col("openalex_id").alias("id"), F.col("source_type").alias("type"), *[c for c in s.columns if c not in ("openalex_id", "source_type", "mean_citedness_2yr", "h_index", "i10_index")], stats)
+    return ranking.import_projection(raw).select(*s.select("openalex_id", "display_name", "source_type", "issn_l", "works_count", "oa_works_count", "cited_by_count", "mean_citedness_2yr", "h_index", "i10_index", "is_oa", "is_in_doaj", "homepage_url", "apc_usd", "country_code").columns)
+
+
+# Records, identifiers --------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'W' || CAST(doc_id AS VARCHAR) AS external_id, split_part(text, chr(10), 1) AS title, lang AS author, CAST(2000 + doc_id % 20 AS INTEGER) AS published_year,
+  CASE doc_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'book' ELSE 'other' END AS item_type, '10.5/d' || CAST(doc_id AS VARCHAR) AS doi, CAST(doc_id AS VARCHAR) || '-' || CAST(doc_id + 9 AS VARCHAR) AS pages FROM documents"""
+)
+def works_json_extract(spark, d):
+    docs = table(spark, d, "documents")
+    i = F.col("doc_id").cast("string")
+    work = F.to_json(
+        F.struct(
+            F.concat(F.lit("https://openalex.org/W"), i).alias("id"),
+            F.concat(F.lit("https://doi.org/10.5/D"), i).alias("doi"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+            F.array(F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"))).alias("authorships"),
+            (2000 + F.col("doc_id") % 20).cast("int").alias("publication_year"),
+            F.when(F.col("doc_id") % 3 == 0, "article").when(F.col("doc_id") % 3 == 1, "book").otherwise("dataset").alias("type"),
+            F.struct(i.alias("first_page"), (F.col("doc_id") + 9).cast("string").alias("last_page")).alias("biblio"),
+        )
+    )
+    r = records.works_from_json(docs.select(work.alias("value")))
+    doi = F.get(F.filter("external_identifiers", lambda x: x["namespace"] == "doi"), F.lit(0))["value"]
+    return r.select("external_id", "title", F.get("authors", F.lit(0)).alias("author"), "published_year", "item_type", doi.alias("doi"), "pages")
+
+
+@query("SELECT p_partkey AS id, p_name AS abstract_text FROM part")
+def abstract_from_inverted_index(spark, d):
+    words = F.split("p_name", " ", -1)
+    places = F.map_from_arrays(F.array_distinct(words), F.transform(F.array_distinct(words), lambda w: F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.when(F.get(words, i) == w, i)), lambda p: p.isNotNull())))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.abstract_text(places).alias("abstract_text"))
+
+
+IDENTIFIER_SQL = """
+WITH raw AS (
+  SELECT page_id AS id, url AS x FROM pages
+  UNION ALL SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'doi:10.1000/AB' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'pmid:' || CAST(c_custkey AS VARCHAR) WHEN 2 THEN 'PMC:PMC' || CAST(c_custkey AS VARCHAR)
+    WHEN 3 THEN '978-0-13-' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || '-1' WHEN 4 THEN CAST(c_custkey AS VARCHAR) ELSE 'name ' || c_name || ' x' END FROM customer),
+t AS (SELECT id, trim(x) AS x, lower(trim(x)) AS l, upper(trim(x)) AS u FROM raw),
+k AS (SELECT id,
+  trim(regexp_replace(u, '^(?:W)?(?:HTTPS://OPENALEX\\.ORG/)?(?:HTTP://OPENALEX\\.ORG/)?', '')) AS o,
+  trim(regexp_replace(l, '^(?:doi:)?(?:https://doi\\.org/)?(?:http://doi\\.org/)?', '')) AS d,
+  trim(replace(l, 'pmid:', '')) AS p,
+  trim(regexp_replace(trim(regexp_replace(l, '^(?:pmcid:)?(?:pmc:)?', '')), '^pmc', '')) AS c,
+  regexp_replace(u, '[^0-9X]', '', 'g') AS i FROM t)
+SELECT id, CASE WHEN regexp_full_match(o, 'W?[0-9]+') THEN 'openalex' WHEN contains(d, '/') THEN 'doi' WHEN regexp_full_match(p, '[0-9]+') THEN 'pmid' WHEN regexp_full_match(c, '[0-9]+') THEN 'pmcid'
+    WHEN length(i) IN (10, 13) THEN 'isbn' END AS namespace,
+  CASE WHEN regexp_full_match(o, 'W?[0-9]+') THEN 'W' || ltrim(o, 'W') WHEN contains(d, '/') THEN d WHEN regexp_full_match(p, '[0-9]+') THEN p WHEN regexp_full_match(c, '[0-9]+') THEN c
+    WHEN length(i) IN (10, 13) THEN i END AS value FROM k"""
+
+
+@query(IDENTIFIER_SQL)
+def identifier_classify(spark, d):
+    k = F.col("c_custkey")
+    s = k.cast("string")
+    made = (
+        F.when(k % 6 == 0, F.concat(F.lit("doi:10.1000/AB"), s))
+        .when(k % 6 == 1, F.concat(F.lit("pmid:"), s))
+        .when(k % 6 == 2, F.concat(F.lit("PMC:PMC"), s))
+        .when(k % 6 == 3, F.concat(F.lit("978-0-13-"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit("-1")))
+        .when(k % 6 == 4, s)
+        .otherwise(F.concat(F.lit("name "), "c_name", F.lit(" x")))
+    )
+    raw = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("x")).unionByName(table(spark, d, "customer").select(k.alias("id"), made.alias("x")))
+    return raw.select("id", ids.classify(F.col("x")).alias("i")).select("id", "i.namespace", "i.value")
+
+
+@query("SELECT page_id AS id, regexp_replace(lower(url), '^(?:https://|http://)', '') AS doi FROM pages")
+def doi_normalize(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), ids.doi(F.regexp_replace("url", "^https?://", "https://doi.org/")).alias("doi"))
+
+
+# The library -----------------------------------------------------------------------------------------
+
+
+@query("SELECT item_id, title, reading_status FROM items WHERE (contains(lower(title), 'that') OR contains(lower(author), 'that') OR contains(lower(tag), 'that')) AND reading_status = 'inbox'", using=("items",))
+def item_keyword_filter(spark, d):
+    items = view(spark, d, "items").withColumns({"authors": F.array("author"), "tags": F.array("tag")})
+    return library.list_items(items, "That", "inbox").select("item_id", "title", "reading_status")
+
+
+def _pair(namespace: str, c: str) -> Column:
+    return F.struct(F.lit(namespace).alias("namespace"), F.col(c).alias("value"))
+
+
+def _records(spark, d) -> DataFrame:
+    return view(spark, d, "records").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
+
+
+def _library(spark, d) -> DataFrame:
+    return view(spark, d, "library").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
+
+
+MATCH_SQL = """, m AS (SELECT r.record_id, coalesce(d.item_id, p.item_id) AS item_id FROM records r
+  LEFT JOIN (SELECT lower(doi) AS v, min(item_id) AS item_id FROM library GROUP BY 1) d ON lower(r.doi) = d.v
+  LEFT JOIN (SELECT lower(pmid) AS v, min(item_id) AS item_id FROM library GROUP BY 1) p ON lower(r.pmid) = p.v)"""
+
+
+def _match_sql(sql: str) -> str:
+    return with_views("", "records", "library").rstrip() + MATCH_SQL + "\n" + sql
+
+
+@query(_match_sql("SELECT record_id, item_id FROM m WHERE item_id IS NOT NULL"))
+def identity_match(spark, d):
+    return library.identity_match(_records(spark, d), _library(spark, d))
+
+
+@query(_match_sql("SELECT count(*) FILTER (item_id IS NULL) AS created, count(*) FILTER (item_id IS NOT NULL) AS merged, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM m"))
+def import_preview_counts(spark, d):
+    return library.import_counts(library.import_preview(_records(spark, d), _library(spark, d)))
+
+
+@query(
+    _match_sql(
+        """SELECT l.item_id, CASE WHEN trim(l.title) = '' THEN coalesce(b.title, l.title) ELSE l.title END AS title, coalesce(b.n, 0) AS n_records
+FROM library l LEFT JOIN (SELECT m.item_id, arg_min(r.title, r.record_id) AS title, count(*) AS n FROM m JOIN records r USING (record_id) WHERE m.item_id IS NOT NULL GROUP BY 1) b USING (item_id)"""
+    )
+)
+def record_merge_fill(spark, d):
+    items = _library(spark, d).select("item_id", "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), F.array().cast("array<struct<source_name:string,external_id:string,original_locator:string>>").alias("sources"), "external_identifiers")
+    recs = _records(spark, d).select("record_id", F.lit("RIS").alias("source_name"), F.col("record_id").cast("string").alias("external_id"), "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), "external_identifiers")
+    merged = library.merge_into_items(items, recs, library.identity_match(recs, items))
+    return merged.select("item_id", "title", F.size("sources").cast("bigint").alias("n_records"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS asset_id, count(*) AS copies FROM documents GROUP BY 1")
+def asset_dedup_by_hash(spark, d):
+    return store.dedup_assets(table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.col("text").alias("content")))
+
+
+# Views and conversions -------------------------------------------------------------------------------
+
+
+def _orders(spark, d) -> DataFrame:
+    return views.with_order(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+
+
+def _customers(spark, d) -> DataFrame:
+    return views.with_order(table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+
+
+def _resolved(view_: views.View, **tables: DataFrame) -> DataFrame:
+    return views.resolve(view_, tables).drop(views.POS)
+
+
+JOIN_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders {} JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey"
+
+
+@query(JOIN_SQL.format(""))
+def view_join_inner(spark, d):
+    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"]), o=_orders(spark, d), c=_customers(spark, d))
+
+
+@query(JOIN_SQL.format("LEFT"))
+def view_join_left(spark, d):
+    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"], "left"), o=_orders(spark, d), c=_customers(spark, d))
+
+
+def _lines(spark, d, flag: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
+    return views.with_order(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'A'")
+def view_concat(spark, d):
+    return _resolved(views.concat(views.table("r"), views.table("a")), r=_lines(spark, d, "R"), a=_lines(spark, d, "A"))
+
+
+@query("SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 40 OFFSET 10")
+def view_select_interval(spark, d):
+    return _resolved(views.select(views.table("o"), ["o_totalprice", "o_orderkey"], (10, 40)), o=_orders(spark, d))
+
+
+@query(
+    """SELECT o_orderkey, c_name FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 5)
+JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey"""
+)
+def view_nested(spark, d):
+    v = views.select(views.join(views.select(views.table("o"), ["o_orderkey", "o_custkey"], (5, 100)), views.table("c"), ["o_custkey"]), ["o_orderkey", "c_name"])
+    return _resolved(views.View.from_json(v.to_json()), o=_orders(spark, d), c=_customers(spark, d))
+
+
+def _sum_keys(inputs: list[DataFrame]) -> DataFrame:
+    parts = [i.select(F.sum("o_custkey").alias("s"), F.count("*").alias("n")) for i in inputs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.agg(F.sum("s").cast("bigint").alias("total"), F.sum("n").cast("bigint").alias("n"))
+
+
+@query("SELECT CAST(sum(o_custkey) AS BIGINT) AS total, count(*) AS n FROM orders")
+def view_registered_sum(spark, d):
+    views.unregister("sum_keys")
+    views.register("sum_keys", _sum_keys)
+    o = _orders(spark, d)
+    return _resolved(views.apply("sum_keys", views.table("a"), views.table("b")), a=o.where("o_orderkey % 2 = 0"), b=o.where("o_orderkey % 2 <> 0"))
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) AS part, p_name, p_size * 2 AS p_size, 'fixed' AS p_brand FROM part")
+def transform_plan(spark, d):
+    from pyspark.sql.types import IntegerType
+
+    transform.register("double", lambda c: c * 2)
+    rules = [transform.Rename("p_partkey", "part"), transform.Drop("p_type"), transform.Drop("p_retailprice"), transform.Fill("p_brand", "fixed"), transform.Map("double", "p_size", IntegerType())]
+    out = transform.apply(rules, table(spark, d, "part"))
+    return transform.apply([transform.Convert("part", DoubleType())], out)
+
+
+# Text and search -------------------------------------------------------------------------------------
+
+TERMS_SQL = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+@query(f"SELECT doc_id, len({TERMS_SQL.format('text')}) AS n_terms, array_to_string(list_sort({TERMS_SQL.format('text')}), ' ') AS terms FROM documents")
+def analyze_terms(spark, d):
+    t = table(spark, d, "documents").select("doc_id", tx.terms(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("bigint").alias("n_terms"), F.array_join(F.array_sort("t"), " ").alias("terms"))
+
+
+def _index(spark, d):
+    items = view(spark, d, "items").withColumns({"authors": F.array("author"), "tags": F.array("tag")})
+    return items, view(spark, d, "assets")
+
+
+FIELDS_SQL = (
+    with_views("", "items", "assets").rstrip()
+    + f""",
+fields AS (
+  SELECT item_id, 'title' AS field, CAST(NULL AS BIGINT) AS asset_id, {TERMS_SQL.format("coalesce(title, '')")} AS terms FROM items
+  UNION ALL SELECT item_id, 'authors', NULL, {TERMS_SQL.format("author")} FROM items
+  UNION ALL SELECT item_id, 'tags', NULL, {TERMS_SQL.format("tag")} FROM items
+  UNION ALL SELECT item_id, 'content', asset_id, {TERMS_SQL.format("content")} FROM assets WHERE path LIKE '%.pdf' AND status = 'available' AND file_size <= 33554432 AND trim(content) <> ''),
+matches AS (SELECT item_id, field, asset_id FROM fields WHERE len(list_intersect(terms, [{{terms}}])) = {{n}} AND field IN ({{fields}})),
+hits AS (SELECT item_id, max(CASE WHEN field <> 'content' THEN 1 ELSE 0 END) AS has_metadata, count(*) AS n_matches FROM matches GROUP BY item_id)
+"""
+)
+
+
+def _fields_sql(text: str, fields: tuple[str, ...], sql: str) -> str:
+    t = tx.analyze(text)
+    return FIELDS_SQL.replace("{terms}", ", ".join(f"'{x}'" for x in t)).replace("{n}", str(len(t))).replace("{fields}", ", ".join(f"'{f}'" for f in fields)) + sql
+
+
+TEXT = "The that"
+
+
+def _matches(spark, d, scopes: list[str] | None) -> DataFrame:
+    items, assets = _index(spark, d)
+    return search.field_matches(search.build(items, assets)[0], tx.analyze(TEXT), scopes)
+
+
+def _found(name: str, scopes: list[str]) -> None:
+    query(_fields_sql(TEXT, tuple(search.scope_fields(scopes)), "SELECT item_id, field, asset_id FROM matches"), name)(lambda spark, d: _matches(spark, d, scopes))
+
+
+for _name, _scopes in {"search_metadata": ["metadata"], "search_content": ["content"], "search_scoped": ["title", "tags"]}.items():
+    _found(_name, _scopes)
+
+
+@query(_fields_sql(TEXT, search.FIELDS, "SELECT count(*) AS total_hits FROM hits"))
+def search_total(spark, d):
+    return search.hits(_matches(spark, d, None)).agg(F.count(F.lit(1)).alias("total_hits"))
+
+
+@query(_fields_sql(TEXT, search.FIELDS, "SELECT item_id, CAST(has_metadata AS INTEGER) AS has_metadata, n_matches FROM hits ORDER BY has_metadata DESC, item_id LIMIT 50 OFFSET 10"))
+def search_all_page(spark, d):
+    found = search.hits(_matches(spark, d, None)).orderBy(F.desc("has_metadata"), "item_id").offset(10).limit(50)
+    return found.select("item_id", "has_metadata", F.size("field_matches").cast("bigint").alias("n_matches"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, text, greatest(instr(lower(text), 'that') - 1, 0) AS place FROM documents), s AS (SELECT *, greatest(place - 80, 0) AS a FROM t), e AS (SELECT *, least(a + 240, length(text)) AS b FROM s)
+SELECT doc_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || substring(text, a + 1, b - a) || (CASE WHEN b < length(text) THEN '…' ELSE '' END) AS excerpt FROM e"""
+)
+def search_excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.excerpt(F.col("text"), ["that"]).alias("excerpt"))
+
+
+CHANGED = "item_id % 7 = 0"
+
+
+@query(
+    _fields_sql(TEXT, search.FIELDS, "SELECT field, count(*) AS n_postings, count(DISTINCT item_id) AS n_items FROM (SELECT item_id, field, unnest(terms) AS term FROM fields WHERE item_id % 11 <> 0) GROUP BY field")
+)
+def index_incremental_equals_rebuild(spark, d):
+    """The index of an older library brought up to date: removed, changed and new items and assets."""
+    items, assets = _index(spark, d)
+    old_items = items.withColumn("title", F.when(F.col("item_id") % 7 == 0, "old title").otherwise(F.col("title")))
+    old_assets = assets.withColumn("content", F.when(F.col("item_id") % 5 == 0, "old content").otherwise(F.col("content")))
+    old = search.build(old_items, old_assets)
+    now_items, now_assets = items.where("item_id % 11 <> 0"), assets.where("item_id % 11 <> 0")
+
+    def change(kind: str, where: str, asset: bool) -> DataFrame:
+        return items.where(where).select(F.lit(kind).alias("kind"), "item_id", (F.col("item_id") if asset else F.lit(None).cast("bigint")).alias("asset_id"))
+
+    changes = change("item_removed", "item_id % 11 = 0", False).unionByName(change("metadata_changed", "item_id % 7 = 0", False)).unionByName(change("asset_changed", "item_id % 5 = 0", True))
+    index, _ = search.update(*old, now_items, now_assets, changes)
+    return index.groupBy("field").agg(F.count(F.lit(1)).alias("n_postings"), F.count_distinct("item_id").alias("n_items"))
+
+
+@query(
+    "SELECT item_id, asset_id, CASE WHEN path NOT LIKE '%.pdf' THEN 'unsupported' WHEN status <> 'available' THEN status ELSE 'no_text' END AS kind FROM assets WHERE path NOT LIKE '%.pdf' OR status <> 'available' OR trim(content) = ''",
+    using=("assets",),
+)
+def index_issues(spark, d):
+    items, assets = _index(spark, d)
+    return search.issues(search.asset_state(assets, items))
+
+
+# Sessions, notes, annotations ------------------------------------------------------------------------
+
+
+@query("SELECT session_id, item_id, asset_id, state FROM sessions ORDER BY last_opened_at DESC, started_at DESC, session_id DESC LIMIT 20", using=("sessions",))
+def sessions_recent(spark, d):
+    return sessions.recent(view(spark, d, "sessions"), 20).select("session_id", "item_id", "asset_id", "state")
+
+
+@query("SELECT item_id, session_id, state FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (state <> 'closed') DESC, last_opened_at DESC, started_at DESC, session_id DESC) AS n FROM sessions) WHERE n = 1", using=("sessions",))
+def session_continue(spark, d):
+    return sessions.continue_target(view(spark, d, "sessions"), ["item_id"]).select("item_id", "session_id", "state")
+
+
+@query("SELECT item_id, asset_id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id, asset_id ORDER BY last_opened_at DESC, started_at DESC, session_id DESC) AS n FROM sessions) WHERE n = 1", using=("sessions",))
+def session_latest(spark, d):
+    return sessions.latest(view(spark, d, "sessions"), ["item_id", "asset_id"]).select("item_id", "asset_id", "session_id")
+
+
+@query("SELECT s.session_id, s.asset_id, coalesce(a.status, 'invalid') AS status FROM sessions s LEFT JOIN (SELECT * FROM assets WHERE asset_id % 2 = 0) a USING (asset_id)", using=("sessions", "assets"))
+def session_asset_status(spark, d):
+    return sessions.with_asset_status(view(spark, d, "sessions"), view(spark, d, "assets").where("asset_id % 2 = 0")).select("session_id", "asset_id", "status")
+
+
+@query(
+    """WITH n AS (SELECT b.item_id, CAST(sum((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text)) AS BIGINT) AS occurrences FROM benchmark b, documents d WHERE contains(d.text, b.text) GROUP BY 1)
+SELECT b.item_id, coalesce(n.occurrences, 0) AS occurrences, CASE WHEN n.occurrences IS NULL THEN 'NotFound' WHEN n.occurrences = 1 THEN 'Found' ELSE 'Ambiguous' END AS state FROM benchmark b LEFT JOIN n USING (item_id)"""
+)
+def annotation_location(spark, d):
+    return notes.locate_passages(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query("SELECT note_id, item_id, updated_at, markdown_body FROM notes WHERE archived_at IS NULL", using=("notes",))
+def notes_listing(spark, d):
+    return notes.list_notes(view(spark, d, "notes")).select("note_id", "item_id", "updated_at", "markdown_body")
+
+
+@query("SELECT note_id, sha256(markdown_body) AS revision FROM notes", using=("notes",))
+def note_revisions(spark, d):
+    return view(spark, d, "notes").select("note_id", notes.revision(F.col("markdown_body")).alias("revision"))
+
+
+# Trees and the store ---------------------------------------------------------------------------------
+
+
+def _geo(spark, d) -> DataFrame:
+    def part(t: str, node: Column, parent: Column, segment: Column, value: Column) -> DataFrame:
+        return table(spark, d, t).select(node.alias("node"), parent.cast("string").alias("parent"), segment.alias("segment"), value.cast("string").alias("value"))
+
+    none = F.lit(None)
+    return (
+        part("region", F.concat(F.lit("r"), "r_regionkey"), none, F.col("r_name"), none)
+        .unionByName(part("nation", F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.col("n_name"), none))
+        .unionByName(part("customer", F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("["), "c_custkey", F.lit("]")), F.sha2("c_name", 256)))
+    )
+
+
+GEO_SQL = """WITH p AS (SELECT '/' || r_name AS path, 0 AS level, CAST(NULL AS VARCHAR) AS value FROM region
+UNION ALL SELECT '/' || r_name || '/' || n_name, 1, NULL FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT '/' || r_name || '/' || n_name || '[' || CAST(c_custkey AS VARCHAR) || ']', 2, sha256(c_name) FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+"""
+
+
+@query(GEO_SQL + "SELECT path, CAST(level AS INTEGER) AS level FROM p")
+def tree_paths(spark, d):
+    return tree.paths(_geo(spark, d)).select("path", "level")
+
+
+@query(GEO_SQL + "SELECT path, value FROM p WHERE value IS NOT NULL")
+def tree_leaf_refs(spark, d):
+    return tree.leaf_refs(tree.paths(_geo(spark, d)))
+
+
+@query(GEO_SQL + "SELECT path, value FROM p WHERE value IS NOT NULL AND NOT starts_with(path, '/ASIA/') AND NOT starts_with(path, '/EUROPE/FRANCE[')")
+def tree_prune(spark, d):
+    return tree.prune(tree.leaf_refs(tree.paths(_geo(spark, d))), ["/ASIA", "/ASIA/CHINA", "/EUROPE/FRANCE"])[0]
+
+
+def _leaves(spark, d, where: str, value: str) -> DataFrame:
+    return table(spark, d, "orders").where(where).select(F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string")).alias("path"), F.expr(value).alias("value"))
+
+
+MERGE_SQL = """WITH de AS (SELECT '/o/' || CAST(o_orderkey AS VARCHAR) AS path, o_orderstatus AS d FROM orders WHERE o_orderkey % 3 <> 0),
+so AS (SELECT '/o/' || CAST(o_orderkey AS VARCHAR) AS path, o_orderpriority AS s FROM orders WHERE o_orderkey % 2 = 0),
+j AS (SELECT path, d, s FROM de FULL OUTER JOIN so USING (path))
+"""
+MERGES = {
+    "overwrite": "SELECT path, s AS value FROM j WHERE s IS NOT NULL",
+    "add": "SELECT path, coalesce(d, s) AS value FROM j",
+    "modify": "SELECT path, coalesce(s, d) AS value FROM j WHERE d IS NOT NULL",
+    "delete": "SELECT path, d AS value FROM j WHERE d IS NOT NULL AND s IS NOT NULL",
+}
+
+
+def _merge(short: str) -> None:
+    query(MERGE_SQL + MERGES[short], f"tree_merge_{short}")(lambda spark, d: tree.merge(_leaves(spark, d, "o_orderkey % 3 <> 0", "o_orderstatus"), _leaves(spark, d, "o_orderkey % 2 = 0", "o_orderpriority"), tree.FLAGS[short]))
+
+
+for _short in MERGES:
+    _merge(_short)
+
+
+@query("SELECT sha256('tb-blob' || chr(0) || html) AS address, count(*) AS n FROM (SELECT DISTINCT html FROM pages) GROUP BY 1")
+def store_dedup(spark, d):
+    payloads = table(spark, d, "pages").select(F.encode("html", "UTF-8").alias("payload"))
+    empty = payloads.select(F.lit("").alias("address"), "payload").where("false")
+    return store.put(empty, payloads).groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 10 <> 3 EXCEPT SELECT page_id FROM pages WHERE page_id % 10 IN (5, 6, 7, 8, 9)")
+def store_gc(spark, d):
+    """Blocks that no commit from the head down to sequence 5 refers to; commit n refers to the pages n mod 10, and 3 is off the chain."""
+    pages = table(spark, d, "pages")
+    commits = spark.range(10).select(F.col("id").alias("sequence"), F.when(F.col("id") > 0, F.col("id") - F.when(F.col("id") == 4, 2).otherwise(1)).alias("parent"))
+    blocks = pages.where("page_id % 10 <> 3").select(F.col("page_id").cast("string").alias("address"), "html")
+    refs = pages.select((F.col("page_id") % 10).alias("sequence"), F.col("page_id").cast("string").alias("address"))
+    return store.garbage(blocks, refs, store.reachable_commits(commits, 9, 5)).select(F.col("address").cast("bigint").alias("page_id"))
+
+
+@query(
+    """SELECT '/p/' || CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 20 = 0 THEN 'dangling reference' WHEN page_id % 20 = 1 THEN 'changed bytes' ELSE 'reference without leaf' END AS problem FROM pages WHERE page_id % 20 IN (0, 1, 2)
+UNION ALL SELECT '/q/' || CAST(page_id AS VARCHAR), 'leaf without reference' FROM pages WHERE page_id % 20 = 3"""
+)
+def store_verify(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.encode(F.concat_ws(":", "page_id", "html"), "UTF-8").alias("payload"))
+    m = F.col("page_id") % 20
+    path = F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("path")
+    refs = p.select(path, F.col("page_id").cast("string").alias("ref_id"), store.address(F.col("payload")).alias("address"))
+    blocks = p.where(m != 0).select(store.address(F.col("payload")).alias("address"), F.when(m == 1, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("payload")).alias("payload"))
+    leaves = p.where(m != 2).select(path).unionByName(p.where(m == 3).select(F.concat(F.lit("/q/"), F.col("page_id").cast("string")).alias("path")))
+    return store.verify(blocks, refs, leaves)
+
+
+@query("SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS parent, 'nation' AS kind, count(*) AS n, CAST(1 AS BIGINT) AS least, CAST(4 AS BIGINT) AS most FROM nation GROUP BY n_regionkey HAVING count(*) > 4")
+def cardinality_check(spark, d):
+    nodes = _geo(spark, d).withColumn("kind", F.when(F.col("node").startswith("r"), "region").when(F.col("node").startswith("n"), "nation").otherwise("customer"))
+    rules = spark.createDataFrame([("region", "nation", 1, 4), ("nation", "customer", 0, None)], "parent_kind string, kind string, least bigint, most bigint")
+    return tree.cardinality(nodes, rules)
+
+
+@query(
+    """WITH s AS (SELECT date_trunc('month', l_shipdate) AS chunk, min(l_quantity) AS lo, max(l_quantity) AS hi, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1)
+SELECT CAST(year(chunk) * 100 + month(chunk) AS INTEGER) AS chunk FROM s WHERE last >= TIMESTAMP '1997-06-01' AND hi >= 50"""
+)
+def chunk_prune(spark, d):
+    li = table(spark, d, "lineitem")
+    stats = li.groupBy(F.date_trunc("month", "l_shipdate").alias("chunk")).agg(F.max("l_quantity").alias("hi"), F.max("l_shipdate").alias("last"))
+    kept = tree.chunks_for(stats, (F.col("last") >= F.lit("1997-06-01").cast("timestamp")) & (F.col("hi") >= 50))
+    return kept.select((F.year("chunk") * 100 + F.month("chunk")).cast("int").alias("chunk"))
+
+
+@query("SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 30 DAY AND TIMESTAMP '2024-01-20 00:00:00'")
+def cache_freshness(spark, d):
+    return resolvers.fresh(table(spark, d, "events").withColumn("cached_at", F.col("ts").cast("timestamp")), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@query("SELECT path, problem FROM (SELECT 1) t, (SELECT '' AS path, '' AS problem) WHERE FALSE")
+def tree_check(spark, d):
+    return tree.tree_problems(_geo(spark, d)).select(F.col("node").alias("path"), "problem")
+
+
+@query()
+def table_digest(spark, d):
+    """One digest of a table, whatever its partitioning: not SQL, tested against itself dealt out otherwise."""
+    return store.table_digest(table(spark, d, "orders"), ["o_orderkey"])
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
