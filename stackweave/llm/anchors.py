@@ -96,8 +96,8 @@ class Chunk:
         self.starts = self.ends - counts
         n = int(counts.sum())
         self.hashes = np.fromiter((x for w in self.words if len(w) >= window for x in map(xxhash.xxh64_intdigest, w)), dtype=np.uint64, count=n)
-        self.offset = np.arange(n) - np.repeat(self.starts, counts)
-        self.left = np.repeat(self.ends, counts) - np.arange(n)
+        self.offset = (np.arange(n) - np.repeat(self.starts, counts)).astype(np.int32)
+        self.left = (np.repeat(self.ends, counts) - np.arange(n)).astype(np.int32)
 
     def anchors(self, buckets: int):
         """Keys of all rolling blocks (bucket and 32 bits), ascending and distinct; each start's place in them."""
@@ -161,6 +161,12 @@ def _bundle(limit: int):
     return run
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _docs(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
@@ -233,16 +239,16 @@ def _sha(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row; ``with_text`` adds the kept words as ``kept``."""
     spark = df.sparkSession
     chunks = materialize(df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(_bundle(chunk_bytes), "chunk string, docs binary"), "chunks")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 2, 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 4, 1)
     extra = ", kept binary" if with_text else ""
 
     def probe(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 c = Chunk(_docs(row["docs"]).column("text").to_pylist(), window)
                 _, keys, _, multi, is_block, _ = c.anchors(buckets)
                 if (out := _send(row["chunk"], (keys >> S32).astype(np.int64), keys & np.uint64(0xFFFFFFFF), [multi, is_block], np.uint32)) is not None:
@@ -253,7 +259,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def extend(batches):
         """Results of the documents without a candidate window, and bundles of the others with theirs."""
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 docs = _docs(row["docs"])
                 ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
                 c = Chunk(texts, window)
@@ -293,7 +299,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 _, c, starts = load(row["docs"])
                 bucket, keys, _, multi = c.windows(starts, buckets)
                 if (out := _send(row["chunk"], bucket, keys, [multi], np.uint64)) is not None:
@@ -303,7 +309,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 ids, c, starts = load(row["docs"])
                 bucket, _, place, _ = c.windows(starts, buckets)
                 found = starts[_marked(bucket, row["replies"])[place]]
