@@ -24,13 +24,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql.classic.column import Column
 from pyspark.sql import functions as F
 
 from .common import utf8
 
 
+#: Ids are kept as characters from here on, so that none is a control character.
+SHIFT = 256
+
+
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file of lines ``base64 rank``."""
@@ -79,27 +85,45 @@ class RankMap:
 
 
 def _literal(numbers: np.ndarray) -> Column:
-    """A literal array column of 32-bit or 64-bit numbers."""
+    """A literal array of 32-bit or 64-bit numbers.
+
+    ``F.lit`` would box every number, in each task anew and in each printed plan; this holds
+    them as the bytes that rows have.
+    """
     from pyspark import SparkContext
 
     gateway = SparkContext._active_spark_context._gateway
-    wide = numbers.dtype == np.int64
-    array = gateway.new_array(gateway.jvm.long if wide else gateway.jvm.int, len(numbers))
-    buffer = gateway.jvm.java.nio.ByteBuffer.wrap(bytearray(numbers.astype(">i8" if wide else ">i4").tobytes()))
+    jvm, wide = gateway.jvm, numbers.dtype == np.int64
+    array = gateway.new_array(jvm.long if wide else jvm.int, len(numbers))
+    buffer = jvm.java.nio.ByteBuffer.wrap(bytearray(numbers.astype(">i8" if wide else ">i4").tobytes()))
     (buffer.asLongBuffer() if wide else buffer.asIntBuffer()).get(array)
-    return F.lit(array)
+    data = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(array)
+    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>" if wide else "array<int>")
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(data, kind)))
 
 
 def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once.
+
+    An aggregate of nothing that ends in ``body``: an element of a transformed array would
+    work out the body's type anew for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def word_encoder(ranks: dict[bytes, int]):
-    """A function from a string column to its array of ids."""
+    """A function from a string column to a string with one character for each id: its code point less ``SHIFT``.
+
+    The fold's state is that string, which a merge overlays in place, and the array of the
+    ranks of each part with the next; slices and concatenations of arrays would cost more
+    than all else.
+    """
     table = RankMap(ranks)
+    if table.base + SHIFT > 0xD800:
+        raise ValueError("ids must stay below the surrogates")
     shift, keys, merged = _literal(table.shift), _literal(table.keys), _literal(table.merged)
     single = _literal(np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32))
+    letters = F.split(F.lit("".join(chr(i + SHIFT) for i in range(table.base))), "")
 
     def rank(left: Column, right: Column) -> Column:
         """The id of two ids joined, null if there is none."""
@@ -111,16 +135,17 @@ def word_encoder(ranks: dict[bytes, int]):
         return _let(left.cast("bigint") * table.base + right, look)
 
     def merge(state: Column, _: Column) -> Column:
-        """One merge; ``ranks`` has a null before the first and after the last pair."""
-        ids, ranks_ = state["ids"], state["ranks"]
+        """One merge: of the lowest rank, the leftmost pair."""
+        text, ranks_ = state["text"], state["ranks"]
 
         def at_lowest(low: Column) -> Column:
             def at(j: Column) -> Column:
-                pair = F.array(rank(F.get(ids, j - 3), low), rank(low, F.get(ids, j)))
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), j - 2), F.array(low), F.slice(ids, j + 1, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks_, F.lit(1), j - 2), pair, F.slice(ranks_, j + 2, F.size(ids))).alias("ranks"),
-                )
+                """``j`` is the pair's place from 1."""
+                before = rank(F.ascii(F.substring(text, j - 1, F.lit(1))) - SHIFT, low)
+                after = rank(low, F.ascii(F.substring(text, j + 2, F.lit(1))) - SHIFT)
+                fewer = F.filter(ranks_, lambda _, k: k != j)
+                new = F.transform(fewer, lambda x, k: F.when(k == j - 1, after).otherwise(F.when(k == j - 2, before).otherwise(x)))
+                return F.struct(F.overlay(text, F.get(letters, low), j, F.lit(2)).alias("text"), new.alias("ranks"))
 
             return F.when(low.isNull(), state).otherwise(_let(F.array_position(ranks_, low).cast("int"), at))
 
@@ -129,14 +154,13 @@ def word_encoder(ranks: dict[bytes, int]):
     def encode(word: Column) -> Column:
         # ISO-8859-1 makes one character of each byte
         ids = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
-        edge = F.array(F.lit(None).cast("int"))
 
         def fold(first: Column) -> Column:
-            n = F.size(first)
-            pairs = F.concat(edge, F.zip_with(F.slice(first, F.lit(1), n - 1), F.slice(first, F.lit(2), n), rank), edge)
-            return F.aggregate(F.sequence(F.lit(2), n), F.struct(first.alias("ids"), pairs.alias("ranks")), merge)["ids"]
+            text = F.array_join(F.transform(first, lambda i: F.get(letters, i)), "")
+            pairs = F.transform(first, lambda x, k: rank(x, F.get(first, k + 1)))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(first), F.lit(2))), F.struct(text.alias("text"), pairs.alias("ranks")), merge)["text"]
 
-        return _let(ids, lambda first: F.when(F.size(first) < 2, first).otherwise(fold(first)))
+        return _let(ids, fold)
 
     return encode
 
@@ -182,7 +206,7 @@ def _texts(flat: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return flat[np.arange(int(after[-1]) if len(after) else 0) - np.repeat(after - count - first, count)]
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 17, max_codes: int = 1 << 22, with_ids: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 18, max_codes: int = 1 << 23, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; ``with_ids`` adds the ids and the decoded bytes."""
     ranks = load_ranks(ranks_path)
     encode = word_encoder(ranks)
@@ -201,8 +225,8 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         for b in batches:
             for r in range(b.num_rows):
                 words = b.column(2)[r].values
-                ends = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
-                flat = words.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+                flat = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64) - SHIFT
                 rows = []
                 for i, c in zip(b.column(0)[r].as_py(), b.column(1)[r].values, strict=True):
                     ids = _texts(flat, ends, np.frombuffer(c.as_buffer(), dtype=np.int32)) if len(flat) else flat

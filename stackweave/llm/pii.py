@@ -40,8 +40,12 @@ CLASSES = {"digit": ("0", 10), "lower": ("a", 26), "upper": ("A", 26)}
 
 
 def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once.
+
+    An aggregate of nothing that ends in ``body``: an element of a transformed array would
+    work out the body's type anew for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def _digest(key: str, kind: Column | str, round_: Column, half: Column) -> Column:
