@@ -15,7 +15,7 @@ VIEWS: dict[str, str] = {
 SELECT concat('S', CAST(s.s_suppkey AS STRING)) AS openalex_id, s.s_name AS display_name,
   CASE s.s_suppkey % 3 WHEN 0 THEN 'journal' WHEN 1 THEN 'conference' ELSE 'repository' END AS source_type,
   concat('0000-', CAST(1000 + s.s_suppkey AS STRING)) AS issn_l,
-  upper(substring(n.n_name, 1, 2)) AS country_code,
+  concat('N', substring(n.n_name, 8, 1)) AS country_code,
   CAST(coalesce(l.works, 0) AS BIGINT) AS works_count, CAST(coalesce(l.oa, 0) AS BIGINT) AS oa_works_count,
   CAST(coalesce(l.cited, 0) AS BIGINT) AS cited_by_count,
   CASE WHEN s.s_suppkey % 7 = 0 THEN NULL ELSE CAST((s.s_suppkey * 37) % 101 AS BIGINT) END AS h_index,

@@ -120,7 +120,9 @@ def merge_records(records: DataFrame, group: str, order: str) -> DataFrame:
         return F.coalesce(F.min_by(c, F.when(good, F.col("__o"))), F.min_by(c, "__o")).alias(c)
 
     def listed(c: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.struct("__o", c))), lambda x: x[c])
+        # by a comparison of the order alone: maps have none
+        by_order = F.array_sort(F.collect_list(F.struct("__o", c)), lambda a, b: F.when(a["__o"] < b["__o"], -1).when(a["__o"] > b["__o"], 1).otherwise(0))
+        return F.transform(by_order, lambda x: x[c])
 
     text = [first(c, ~_blank(F.col(c))) for c in ("title", "abstract_text", "pages", "volume", "external_id")]
     identifiers = F.aggregate(listed("external_identifiers"), F.array().cast("array<struct<namespace:string,value:string>>"), add_identifiers)

@@ -64,7 +64,7 @@ for _short in METRIC_SQL:
 SEARCHED = ", ".join(ranking.SEARCHED)
 SEARCHES = {
     "all": ({}, "TRUE", 100, 0),
-    "country": ({"country": "in"}, "country_code = 'IN'", 100, 0),
+    "country": ({"country": "n1"}, "country_code = 'N1'", 100, 0),
     "oa": ({"is_oa": True, "source_type": "conference"}, "is_oa AND source_type = 'conference'", 100, 0),
     "text": ({"text": "PLIER#00000001"}, "contains(lower(display_name), lower('PLIER#00000001'))", 100, 0),
     "page2": ({"limit": 20, "offset": 20}, "TRUE", 20, 20),
