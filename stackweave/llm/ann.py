@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lowest_hashes, materialize
 
 RESULT = "query_id bigint, vec_id bigint, score double"
 
@@ -161,11 +161,10 @@ def neighbours(df: DataFrame, query: Column | None = None, id_col: str = "vec_id
     ranked = good.select("id", "v").withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     rows = materialize(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "distinct-vectors")
     n = rows.count()
-    order = [F.xxhash64("v"), F.col("ids")[0]]
-    sample = unit(_matrix(rows.orderBy(*order).limit(sample_rows).select("v").toArrow().column(0).combine_chunks()))
+    sample = unit(_matrix(lowest_hashes(rows, F.xxhash64("v"), sample_rows, n).select("v").toArrow().column(0).combine_chunks()))
     tree = Tree(sample, max(1, min(n // leaf_rows, len(sample) // 16)))
     queries = good.where("q").select("id", "v").dropDuplicates(["id", "v"])
-    tests = queries.orderBy(F.xxhash64("v", "id"), "id").limit(calibration).toArrow()
+    tests = lowest_hashes(queries, F.xxhash64("v", "id"), calibration, queries.count()).toArrow()
     test_ids, test_vecs = tests.column(0).to_pylist(), _matrix(tests.column(1).combine_chunks()) if tests.num_rows else np.zeros((0, 1))
 
     def compare(batches):

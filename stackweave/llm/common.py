@@ -50,6 +50,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
+def lowest_hashes(df: DataFrame, hash_: Column, n: int, total: int) -> DataFrame:
+    """Up to ``n`` rows of the lowest 64-bit hashes, of ``total`` rows.
+
+    Rows far above are left out first, so that what meets in one place follows ``n`` and
+    not the number of partitions.
+    """
+    share = min(1.0, (2 * n + 50) / max(total, 1))
+    near = df if share == 1.0 else df.where(hash_ <= int(-(2**63) + share * 2**64) - 1)
+    return near.orderBy(hash_).limit(n)
+
+
 def words(blob: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes: ``bytes.split`` splits at just those."""
     return blob.split() if blob else []

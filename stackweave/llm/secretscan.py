@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import lowest_hashes, utf8
 
 KINDS = ("assign", "access", "hex", "cnn")
 # The base patterns and the least lengths they need.
@@ -185,9 +185,11 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
     Of the texts, those of more than 20,000 characters are not learnt from (they are scanned).
     """
-    short = df.where(F.length(text_col) <= 20000).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
+    hash_ = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    short = df.where(F.length(text_col) <= 20000).select(hash_.alias("h"), F.col(text_col).alias("text"))
     likely = F.col("text").rlike(r"AKIA[A-Z0-9]{12}|(?<![0-9a-f])[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    texts = [r["text"] for rows in (short.where(likely), short) for r in rows.orderBy("h", "text").limit(max_docs).collect()]
+    counts = short.agg(F.count_if(likely).alias("likely"), F.count(F.lit(1)).alias("all")).first()
+    texts = [r["text"] for rows, n in ((short.where(likely), counts["likely"]), (short, counts["all"])) for r in lowest_hashes(rows, F.col("h"), max_docs, n).collect()]
     rng = np.random.default_rng(5)
     x, y = [], []
     for t in texts:
