@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split by the tokenizer's pattern; each distinct word of a bundle of texts is
-encoded once.  The encoding is a Spark higher-order fold over the word's bytes: the state
-holds the parts' ids and the ranks of all adjacent pairs; a step merges the leftmost pair of
-the lowest rank.  Ranks come from a literal map of (left id, right id) to the merged id, which
-is its rank too.  Decoding concatenates the ids' binary pieces.
+encoded once, and the words that are frequent in a bounded sample once for all bundles.
+The encoding is a Spark higher-order fold over the word's bytes: the state holds the parts'
+ids and the ranks of all adjacent pairs; a step merges the leftmost pair of the lowest rank.
+Ranks come from a literal map of (left id, right id) to the merged id, which is its rank too.
+Decoding concatenates the ids' binary pieces, first of a word, then of a text.
 
 Around the fold, Arrow batches carry each bundle: its distinct words, and for every text the
 numbers of its words.  A bundle ends at ``max_words`` distinct words or ``max_codes`` words,
@@ -20,17 +21,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.classic.column import Column
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import lowest_hashes, utf8
 
 
 #: Ids are kept as characters from here on, so that none is a control character.
@@ -165,77 +168,113 @@ def word_encoder(ranks: dict[bytes, int]):
     return encode
 
 
-def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    """The bytes of ids: their pieces, concatenated."""
-    return b"".join([pieces[i] for i in ids.tolist()])
+class Words:
+    """Encoded words: how many ids each has, the ids in decimal, and the bytes they decode to."""
 
+    def __init__(self, letters: list[str], pieces: list[bytes]) -> None:
+        self.ids = [np.frombuffer(x.encode("utf-32-le"), dtype="<u4").astype(np.int32) - SHIFT for x in letters]
+        self.count = np.array([len(x) for x in letters], dtype=np.int64)
+        lists = [x.tolist() for x in self.ids]
+        self.decimal = [",".join(map(str, x)) for x in lists]
+        self.decoded = [b"".join([pieces[i] for i in x]) for x in lists]
 
-def _bundles(pattern: str, max_words: int, max_codes: int):
-    """Arrow step: rows (doc_id, text) to bundles (ids, word numbers of each text, distinct words)."""
+
+def frequent_words(df: DataFrame, encode, pattern: str, docs: int, most: int) -> tuple[list[str], list[str]]:
+    """(words, their letters): words that occur twice or more in a bounded sample, the most frequent first.
+
+    They are a cache, encoded once by the same fold; words that it lacks are encoded where
+    they occur, so the sample changes no result.
+    """
+
+    def count(batches):
+        split = regex.compile(pattern).findall
+        for b in batches:
+            found: Counter[str] = Counter()
+            for v in b.column(0):
+                blob = v.as_py()
+                found.update(split(blob.decode("utf-8", "replace")) if blob else ())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    sample = lowest_hashes(df, F.xxhash64("doc_id", "text"), docs, df.count()).select("text")
+    counts = sample.repartition(8).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    # a word longer than this would make the cache's size unknown
+    top = counts.where((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(most)
+    got = top.repartition(12).select("word", encode(F.col("word")).alias("letters")).toArrow()
+    return got.column(0).to_pylist(), got.column(1).to_pylist()
+
+
+def _bundles(pattern: str, cached, max_words: int, max_codes: int):
+    """Arrow step: rows (doc_id, text) to bundles (ids, word numbers of each text, distinct words not cached)."""
 
     def run(batches):
-        split = regex.compile(pattern)
-        number: dict[str, int] = {}
-        ids, codes, total = [], [], 0
+        split = regex.compile(pattern).findall
+        known = {w: i for i, w in enumerate(cached.value[0])}
+        number, ids, codes, total = dict(known), [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([list(number)], pa.list_(pa.string()))], ["ids", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([list(islice(number, len(known), None))], pa.list_(pa.string()))], ["ids", "codes", "words"])
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 blob = v.as_py()
-                found = split.findall(blob.decode("utf-8", "replace")) if blob else []
-                new = [number.setdefault(w, len(number)) for w in found]
+                place = number.setdefault
+                new = [place(w, len(number)) for w in split(blob.decode("utf-8", "replace"))] if blob else []
                 ids.append(i)
                 codes.append(np.array(new, dtype=np.int32).tobytes())
                 total += len(new)
-                if len(number) >= max_words or total >= max_codes:
+                if len(number) - len(known) >= max_words or total >= max_codes:
                     yield flush()
-                    number, ids, codes, total = {}, [], [], 0
+                    number, ids, codes, total = dict(known), [], [], 0
         if ids:
             yield flush()
 
     return run
 
 
-def _texts(flat: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The ids of a text: the ids of its words one after another."""
-    starts = np.concatenate([[0], ends[:-1]])
-    first, count = starts[codes], (ends - starts)[codes]
-    after = np.cumsum(count)
-    return flat[np.arange(int(after[-1]) if len(after) else 0) - np.repeat(after - count - first, count)]
+_cached: dict[str, Words] = {}
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 18, max_codes: int = 1 << 23, with_ids: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 16, max_codes: int = 1 << 22, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; ``with_ids`` adds the ids and the decoded bytes."""
     ranks = load_ranks(ranks_path)
     encode = word_encoder(ranks)
-    table: list[bytes] = [b""] * (max(ranks.values()) + 1)
+    pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
-        table[i] = token
-    pieces = df.sparkSession.sparkContext.broadcast(table)
+        pieces[i] = token
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"))
-    bundles = slim.mapInArrow(_bundles(pattern, max_words, max_codes), "ids array<bigint>, codes array<binary>, words array<string>")
+    words, letters = frequent_words(slim, encode, pattern, cache_docs, cache_words)
+    key = uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast((words, letters, pieces))
+    bundles = slim.mapInArrow(_bundles(pattern, shared, max_words, max_codes), "ids array<bigint>, codes array<binary>, words array<string>")
     encoded = bundles.select("ids", "codes", F.transform("words", encode).alias("words"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
     def digest(batches):
-        piece = pieces.value
-        text = [str(i) for i in range(len(piece))]
+        if key not in _cached:
+            _cached.clear()
+            _cached[key] = Words(shared.value[1], shared.value[2])
+        cache = _cached[key]
+        n = len(cache.decimal)
         for b in batches:
             for r in range(b.num_rows):
-                words = b.column(2)[r].values
-                ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
-                flat = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64) - SHIFT
+                own = Words(b.column(2)[r].values.to_pylist(), shared.value[2])
+                # the cache's lists grow by the bundle's words, and shrink again
+                decimal, decoded = cache.decimal, cache.decoded
+                decimal += own.decimal
+                decoded += own.decoded
+                count = np.concatenate([cache.count, own.count])
                 rows = []
                 for i, c in zip(b.column(0)[r].as_py(), b.column(1)[r].values, strict=True):
-                    ids = _texts(flat, ends, np.frombuffer(c.as_buffer(), dtype=np.int32)) if len(flat) else flat
-                    decoded = decode_ids(ids, piece)
-                    listed = ids.tolist()
-                    rows.append((i, len(ids), hashlib.sha256(",".join([text[x] for x in listed]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), *[listed, decoded] * with_ids))
+                    codes = np.frombuffer(c.as_buffer(), dtype=np.int32)
+                    at = codes.tolist()
+                    whole = b"".join([decoded[x] for x in at])
+                    extra = [np.concatenate([cache.ids[x] if x < n else own.ids[x - n] for x in at] or [np.zeros(0, np.int32)]).tolist(), whole] if with_ids else []
+                    rows.append((i, int(count[codes].sum()), hashlib.sha256(",".join([decimal[x] for x in at]).encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), *extra))
                     if len(rows) >= 2000 or with_ids and len(rows) >= 100:
                         yield pack(rows)
                         rows = []
+                del decimal[n:], decoded[n:]
                 if rows:
                     yield pack(rows)
 
