@@ -572,3 +572,34 @@ def table_digest(spark, d):
     return store.table_digest(table(spark, d, "orders"), ["o_orderkey"])
 
 
+
+
+# Values, assets, displays ----------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey % 256, (c_custkey // 256) % 256, (c_custkey // 65536) % 256, c_custkey // 16777216) AS place FROM customer")
+def value_order(spark, d):
+    """Integers in the order of their stored bytes, least byte first; places by ranges of that order."""
+    from .functions.values import order_key
+
+    keyed = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), order_key(F.col("c_custkey"), "i64").alias(views.POS))
+    return views.numbered(keyed).select("k", F.col(views.POS).cast("bigint").alias("place"))
+
+
+@query(
+    """SELECT asset_id, CASE WHEN asset_id % 13 = 0 THEN 'external' WHEN asset_id % 11 = 0 OR path LIKE '%.txt' THEN 'invalid' WHEN asset_id % 7 = 0 THEN 'missing' WHEN asset_id % 5 = 0 THEN 'unreadable' ELSE 'available' END AS status FROM assets""",
+    using=("assets",),
+)
+def asset_status(spark, d):
+    from .operators import assets as files_of
+
+    a = view(spark, d, "assets").select("asset_id", F.when(F.col("asset_id") % 11 == 0, F.concat(F.lit("../"), "path")).otherwise(F.col("path")).alias("path"), F.lit("application/pdf").alias("media_type"), F.when(F.col("asset_id") % 13 == 0, "external").otherwise("managed").alias("storage_kind"))
+    listing = a.where("asset_id % 7 <> 0").select("path", (F.col("asset_id") % 5 != 0).alias("readable"), F.lit(True).alias("is_file"))
+    return files_of.status(a, listing).select("asset_id", "status")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) ELSE CAST(n_chars AS VARCHAR) || ' B' END AS shown FROM documents WHERE n_chars % 512 <> 0")
+def display_size(spark, d):
+    from .functions.display import size
+
+    return table(spark, d, "documents").where("n_chars % 512 <> 0").select("doc_id", size(F.col("n_chars")).alias("shown"))
