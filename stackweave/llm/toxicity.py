@@ -83,10 +83,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, max_terms: int = 4096, rank:
     y = labels.astype(np.float64)
     if not len(rows) or y.min() == y.max():
         return Machine(-500.0 if not len(rows) or y.max() == 0 else 500.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     names, at = np.unique(flat, return_inverse=True)
-    pos, n = np.bincount(at, weights=y[owner], minlength=len(names)), np.bincount(at, minlength=len(names))
+    at = at.astype(np.int32)
+    n = np.bincount(at, minlength=len(names))
+    pos = np.bincount(at[y[owner] > 0], minlength=len(names))
     p1, p0 = (pos + 0.5) / (y.sum() + 1), (n - pos + 0.5) / (len(y) - y.sum() + 1)
     z = np.abs(np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))) / np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5))
     # a term that one class has by chance alone is noise: three and a half deviations, and five rows
@@ -127,14 +129,21 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def number_all(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted({number(t) for t in terms(x.as_py())}) for x in b.column(1)], pa.list_(pa.int32()))], ["label", "terms"])
+            found = [np.array(sorted({number(t) for t in terms(x.as_py())}), dtype=np.int32) for x in b.column(2)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))], ["h", "label", "terms"])
 
     docs = df.select(F.col(id_col).alias("__doc"), utf8(text_col).alias("__text"))
     # at most max_rows small rows: their size is bounded by the parameter
-    rows = docs.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__id", "__label", "__text")
-    got = rows.select("__label", "__text").mapInArrow(number_all, "label int, terms array<int>").toArrow()
-    order = sorted(range(got.num_rows), key=lambda i: (got.column(1)[i].as_py(), got.column(0)[i].as_py()))
-    return fit([np.array(got.column(1)[i].as_py(), dtype=np.int64) for i in order], np.array([got.column(0)[i].as_py() for i in order], dtype=np.int64))
+    rows = docs.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(F.xxhash64("__id", "__text"), "__label", "__text")
+    got = rows.mapInArrow(number_all, "h bigint, label int, terms array<int>").toArrow().combine_chunks()
+    order = np.argsort(got.column("h").to_numpy(), kind="stable")
+    labels_ = got.column("label").to_numpy()[order].astype(np.int64)
+    if not len(order):
+        return fit([], labels_)
+    lists = got.column("terms").chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return fit([flat[ends[i] : ends[i + 1]] for i in order.tolist()], labels_)
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000) -> DataFrame:
