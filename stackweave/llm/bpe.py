@@ -56,15 +56,20 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 class RankMap:
-    """The literal rank map, a perfect hash of pair numbers (left id * base + right id).
+    """The literal rank map, a perfect hash of pairs of letters (ids plus ``SHIFT``).
 
-    A pair's group (its number mod ``groups``) has a displacement; the pair stands at that
-    plus its number mod ``slots``.  A lookup reads one displacement and one key.
+    A pair's number is (left - middle) * base + right, which fits 32 signed bits, so that
+    the fold calculates in ints.  Its group (the number mod ``groups``) has a displacement;
+    the pair stands at that plus its number mod ``slots``.  A lookup reads one displacement
+    and one key.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.base = max(ranks.values()) + 1
-        pairs = {left * self.base + right: merged for (left, right), merged in merges(ranks).items()}
+        self.base = max(ranks.values()) + 1 + SHIFT
+        self.middle = self.base // 2
+        if self.middle * self.base >= 1 << 31:
+            raise ValueError("pairs of more than 65,000 ids need wider numbers")
+        pairs = {self.number(left + SHIFT, right + SHIFT): merged + SHIFT for (left, right), merged in merges(ranks).items()}
         self.groups, self.slots = len(pairs) // 3 + 1, len(pairs) * 5 // 2 + 1
         members: dict[int, list[int]] = {}
         for p in pairs:
@@ -82,13 +87,17 @@ class RankMap:
             for x, p in zip(places, own, strict=True):
                 taken[x + shift] = p
         size = max(taken, default=0) + 1
-        self.keys, self.merged = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int32)
+        # no pair has the largest number: its right part would be above all letters
+        self.keys, self.merged = np.full(size, (1 << 31) - 1, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for place, p in taken.items():
             self.keys[place], self.merged[place] = p, pairs[p]
 
+    def number(self, left: int, right: int) -> int:
+        return (left - self.middle) * self.base + right
+
 
 def _literal(numbers: np.ndarray) -> Column:
-    """A literal array of 32-bit or 64-bit numbers.
+    """A literal array of 32-bit numbers.
 
     ``F.lit`` would box every number, in each task anew and in each printed plan; this holds
     them as the bytes that rows have.
@@ -96,12 +105,11 @@ def _literal(numbers: np.ndarray) -> Column:
     from pyspark import SparkContext
 
     gateway = SparkContext._active_spark_context._gateway
-    jvm, wide = gateway.jvm, numbers.dtype == np.int64
-    array = gateway.new_array(jvm.long if wide else jvm.int, len(numbers))
-    buffer = jvm.java.nio.ByteBuffer.wrap(bytearray(numbers.astype(">i8" if wide else ">i4").tobytes()))
-    (buffer.asLongBuffer() if wide else buffer.asIntBuffer()).get(array)
+    jvm = gateway.jvm
+    array = gateway.new_array(jvm.int, len(numbers))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(numbers.astype(">i4").tobytes())).asIntBuffer().get(array)
     data = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(array)
-    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>" if wide else "array<int>")
+    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<int>")
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(data, kind)))
 
 
@@ -115,27 +123,24 @@ def _let(value: Column, body) -> Column:
 
 
 def word_encoder(ranks: dict[bytes, int]):
-    """A function from a string column to a string with one character for each id: its code point less ``SHIFT``.
+    """A function from a string column to a string with one letter for each id: its code point less ``SHIFT``.
 
     The fold's state is that string, which a merge overlays in place, and the array of the
     ranks of each part with the next; slices and concatenations of arrays would cost more
     than all else.
     """
     table = RankMap(ranks)
-    if table.base + SHIFT > 0xD800:
-        raise ValueError("ids must stay below the surrogates")
     shift, keys, merged = _literal(table.shift), _literal(table.keys), _literal(table.merged)
-    single = _literal(np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32))
-    letters = F.split(F.lit("".join(chr(i + SHIFT) for i in range(table.base))), "")
+    single = _literal(np.array([ranks[bytes([i])] + SHIFT for i in range(256)], dtype=np.int32))
+    letters = F.split(F.lit("".join(chr(i) for i in range(1, table.base))), "")  # letter n at n - 1
 
     def rank(left: Column, right: Column) -> Column:
-        """The id of two ids joined, null if there is none."""
+        """The letter's number of two letters' numbers joined, null if there is none."""
 
         def look(p: Column) -> Column:
-            place = F.get(shift, (p % table.groups).cast("int")) + (p % table.slots).cast("int")
-            return _let(place, lambda x: F.when(F.get(keys, x) == p, F.get(merged, x)))
+            return _let(F.get(shift, F.pmod(p, F.lit(table.groups))) + F.pmod(p, F.lit(table.slots)), lambda x: F.when(F.get(keys, x) == p, F.get(merged, x)))
 
-        return _let(left.cast("bigint") * table.base + right, look)
+        return _let((left - table.middle) * table.base + right, look)
 
     def merge(state: Column, _: Column) -> Column:
         """One merge: of the lowest rank, the leftmost pair."""
@@ -144,11 +149,11 @@ def word_encoder(ranks: dict[bytes, int]):
         def at_lowest(low: Column) -> Column:
             def at(j: Column) -> Column:
                 """``j`` is the pair's place from 1."""
-                before = rank(F.ascii(F.substring(text, j - 1, F.lit(1))) - SHIFT, low)
-                after = rank(low, F.ascii(F.substring(text, j + 2, F.lit(1))) - SHIFT)
+                before = rank(F.ascii(F.substring(text, j - 1, F.lit(1))), low)
+                after = rank(low, F.ascii(F.substring(text, j + 2, F.lit(1))))
                 fewer = F.filter(ranks_, lambda _, k: k != j)
                 new = F.transform(fewer, lambda x, k: F.when(k == j - 1, after).otherwise(F.when(k == j - 2, before).otherwise(x)))
-                return F.struct(F.overlay(text, F.get(letters, low), j, F.lit(2)).alias("text"), new.alias("ranks"))
+                return F.struct(F.overlay(text, F.get(letters, low - 1), j, F.lit(2)).alias("text"), new.alias("ranks"))
 
             return F.when(low.isNull(), state).otherwise(_let(F.array_position(ranks_, low).cast("int"), at))
 
@@ -156,14 +161,14 @@ def word_encoder(ranks: dict[bytes, int]):
 
     def encode(word: Column) -> Column:
         # ISO-8859-1 makes one character of each byte
-        ids = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
+        first_letters = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
 
         def fold(first: Column) -> Column:
-            text = F.array_join(F.transform(first, lambda i: F.get(letters, i)), "")
+            text = F.array_join(F.transform(first, lambda i: F.get(letters, i - 1)), "")
             pairs = F.transform(first, lambda x, k: rank(x, F.get(first, k + 1)))
             return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(first), F.lit(2))), F.struct(text.alias("text"), pairs.alias("ranks")), merge)["text"]
 
-        return _let(ids, fold)
+        return _let(first_letters, fold)
 
     return encode
 
@@ -172,11 +177,23 @@ class Words:
     """Encoded words: how many ids each has, the ids in decimal, and the bytes they decode to."""
 
     def __init__(self, letters: list[str], pieces: list[bytes]) -> None:
-        self.ids = [np.frombuffer(x.encode("utf-32-le"), dtype="<u4").astype(np.int32) - SHIFT for x in letters]
-        self.count = np.array([len(x) for x in letters], dtype=np.int64)
-        lists = [x.tolist() for x in self.ids]
-        self.decimal = [",".join(map(str, x)) for x in lists]
-        self.decoded = [b"".join([pieces[i] for i in x]) for x in lists]
+        self.count = np.fromiter(map(len, letters), dtype=np.int64, count=len(letters))
+        every = (np.frombuffer("".join(letters).encode("utf-32-le"), dtype="<u4").astype(np.int64) - SHIFT).tolist()
+        texts, blobs = [str(i) for i in range(len(pieces))], pieces
+        self.decimal, self.decoded, at = [], [], 0
+        for n in self.count.tolist():
+            own = every[at : at + n]
+            at += n
+            self.decimal.append(",".join([texts[i] for i in own]))
+            self.decoded.append(b"".join([blobs[i] for i in own]))
+
+
+class Numbers(dict):
+    """Numbers words by their first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def frequent_words(df: DataFrame, encode, pattern: str, docs: int, most: int) -> tuple[list[str], list[str]]:
@@ -210,7 +227,7 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
     def run(batches):
         split = regex.compile(pattern).findall
         known = {w: i for i, w in enumerate(cached.value[0])}
-        number, ids, codes, total = dict(known), [], [], 0
+        number, ids, codes, total = Numbers(known), [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([list(islice(number, len(known), None))], pa.list_(pa.string()))], ["ids", "codes", "words"])
@@ -218,14 +235,13 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 blob = v.as_py()
-                place = number.setdefault
-                new = [place(w, len(number)) for w in split(blob.decode("utf-8", "replace"))] if blob else []
+                found = split(blob.decode("utf-8", "replace")) if blob else ()
                 ids.append(i)
-                codes.append(np.array(new, dtype=np.int32).tobytes())
-                total += len(new)
+                codes.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)).tobytes())
+                total += len(found)
                 if len(number) - len(known) >= max_words or total >= max_codes:
                     yield flush()
-                    number, ids, codes, total = dict(known), [], [], 0
+                    number, ids, codes, total = Numbers(known), [], [], 0
         if ids:
             yield flush()
 
@@ -235,7 +251,7 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
 _cached: dict[str, Words] = {}
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 16, max_codes: int = 1 << 22, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 17, max_codes: int = 1 << 22, cache_docs: int = 16_000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; ``with_ids`` adds the ids and the decoded bytes."""
     ranks = load_ranks(ranks_path)
     encode = word_encoder(ranks)
@@ -268,9 +284,10 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 for i, c in zip(b.column(0)[r].as_py(), b.column(1)[r].values, strict=True):
                     codes = np.frombuffer(c.as_buffer(), dtype=np.int32)
                     at = codes.tolist()
-                    whole = b"".join([decoded[x] for x in at])
-                    extra = [np.concatenate([cache.ids[x] if x < n else own.ids[x - n] for x in at] or [np.zeros(0, np.int32)]).tolist(), whole] if with_ids else []
-                    rows.append((i, int(count[codes].sum()), hashlib.sha256(",".join([decimal[x] for x in at]).encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), *extra))
+                    whole = b"".join(map(decoded.__getitem__, at))
+                    listed = ",".join(map(decimal.__getitem__, at))
+                    extra = [list(map(int, listed.split(","))) if listed else [], whole] if with_ids else []
+                    rows.append((i, int(count[codes].sum()), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(whole).hexdigest(), *extra))
                     if len(rows) >= 2000 or with_ids and len(rows) >= 100:
                         yield pack(rows)
                         rows = []
