@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -50,9 +50,6 @@ def asset_state(assets: DataFrame, items: DataFrame) -> DataFrame:
 def metadata_fields(items: DataFrame, analyzer=tx.terms) -> DataFrame:
     """(item_id, field, asset_id, terms) of titles, authors and tags."""
 
-    def joined(values: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(values, lambda v: v)))
-
     lists = {"authors": F.concat_ws("\n", "authors"), "tags": F.concat_ws("\n", "tags"), "title": F.coalesce("title", F.lit(""))}
     parts = F.array(*[F.struct(F.lit(f).alias("field"), lists[f].alias("text")) for f in ("title", "authors", "tags")])
     rows = items.select("item_id", F.explode(parts).alias("p")).select("item_id", "p.field", F.lit(None).cast(items.schema["item_id"].dataType).alias("asset_id"), "p.text")
@@ -65,7 +62,12 @@ def content_fields(indexed: DataFrame, analyzer=tx.terms) -> DataFrame:
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    return fields.select(F.explode("terms").alias("term"), "item_id", "field", "asset_id")
+    """One row for each distinct term of a field.
+
+    The outer explode keeps the optimizer from filtering by the size of ``terms`` first,
+    which would run the analyzer twice.
+    """
+    return fields.select(F.explode_outer("terms").alias("term"), "item_id", "field", "asset_id").where(F.col("term").isNotNull())
 
 
 def build(items: DataFrame, assets: DataFrame, analyzer=tx.terms) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +87,8 @@ def issues(records: DataFrame) -> DataFrame:
 def field_matches(index: DataFrame, query: list[str], scopes: list[str] | None = None) -> DataFrame:
     """(item_id, field, asset_id) of the fields in scope that hold every term of the query."""
     hits = index.where(F.col("term").isin(query) & F.col("field").isin(scope_fields(scopes or [])))
-    return hits.groupBy("item_id", "field", "asset_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(set(query))).drop("n")
+    # postings hold a term of a field once, so a plain count will do: one shuffle less than a distinct one
+    return hits.groupBy("item_id", "field", "asset_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(set(query))).drop("n")
 
 
 def hits(matches: DataFrame) -> DataFrame:
