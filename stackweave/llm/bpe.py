@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections import Counter
 from functools import lru_cache
 from itertools import islice
 
@@ -196,6 +195,36 @@ class Numbers(dict):
         return n
 
 
+class Splitter:
+    """The matches of a pattern as numbers of distinct words, in the order they were first seen."""
+
+    def __init__(self, pattern: str, known: dict[str, int]) -> None:
+        self.find = regex.compile(pattern).findall
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = Numbers(self.known)
+
+    def new_words(self) -> list[str]:
+        return list(islice(self.number, len(self.known), None))
+
+    def codes(self, blob: bytes | None) -> np.ndarray:
+        found = self.find(blob.decode("utf-8", "replace")) if blob else ()
+        return np.fromiter(map(self.number.__getitem__, found), dtype=np.int32, count=len(found))
+
+
+def _packed(texts: list[str]) -> tuple[str, np.ndarray]:
+    """Strings as one, with their lengths: a list of them would be many objects in every worker."""
+    return "".join(texts), np.array(list(map(len, texts)), dtype=np.int32)
+
+
+def _unpacked(packed: tuple[str, np.ndarray]) -> list[str]:
+    text, lengths = packed
+    ends = np.cumsum(lengths).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def frequent_words(df: DataFrame, encode, pattern: str, docs: int, most: int) -> tuple[list[str], list[str]]:
     """(words, their letters): words that occur twice or more in a bounded sample, the most frequent first.
 
@@ -204,14 +233,13 @@ def frequent_words(df: DataFrame, encode, pattern: str, docs: int, most: int) ->
     """
 
     def count(batches):
-        split = regex.compile(pattern).findall
         for b in batches:
-            found: Counter[str] = Counter()
+            split, found = Splitter(pattern, {}), []
             for v in b.column(0):
-                blob = v.as_py()
-                found.update(split(blob.decode("utf-8", "replace")) if blob else ())
+                found.append(split.codes(v.as_py()))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+                n = np.bincount(np.concatenate(found), minlength=len(split.number))
+                yield pa.RecordBatch.from_arrays([pa.array(split.new_words(), pa.string()), pa.array(n, pa.int64())], ["word", "n"])
 
     sample = lowest_hashes(df, F.xxhash64("doc_id", "text"), docs, df.count()).select("text")
     counts = sample.repartition(8).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -225,23 +253,22 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
     """Arrow step: rows (doc_id, text) to bundles (ids, word numbers of each text, distinct words not cached)."""
 
     def run(batches):
-        split = regex.compile(pattern).findall
-        known = {w: i for i, w in enumerate(cached.value[0])}
-        number, ids, codes, total = Numbers(known), [], [], 0
+        known = {w: i for i, w in enumerate(_unpacked(cached.value))}
+        split, ids, codes, total = Splitter(pattern, known), [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([list(islice(number, len(known), None))], pa.list_(pa.string()))], ["ids", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([split.new_words()], pa.list_(pa.string()))], ["ids", "codes", "words"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                blob = v.as_py()
-                found = split(blob.decode("utf-8", "replace")) if blob else ()
-                ids.append(i)
-                codes.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)).tobytes())
+            for i, v in zip(b.column(0), b.column(1), strict=True):
+                found = split.codes(v.as_py())
+                ids.append(i.as_py())
+                codes.append(found.tobytes())
                 total += len(found)
-                if len(number) - len(known) >= max_words or total >= max_codes:
+                if len(split.number) - len(known) >= max_words or total >= max_codes:
                     yield flush()
-                    number, ids, codes, total = Numbers(known), [], [], 0
+                    split.clear()
+                    ids, codes, total = [], [], 0
         if ids:
             yield flush()
 
@@ -251,7 +278,7 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
 _cached: dict[str, Words] = {}
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 17, max_codes: int = 1 << 22, cache_docs: int = 16_000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 17, max_codes: int = 1 << 22, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; ``with_ids`` adds the ids and the decoded bytes."""
     ranks = load_ranks(ranks_path)
     encode = word_encoder(ranks)
@@ -261,20 +288,21 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"))
     words, letters = frequent_words(slim, encode, pattern, cache_docs, cache_words)
     key = uuid.uuid4().hex
-    shared = df.sparkSession.sparkContext.broadcast((words, letters, pieces))
-    bundles = slim.mapInArrow(_bundles(pattern, shared, max_words, max_codes), "ids array<bigint>, codes array<binary>, words array<string>")
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast((_packed(letters), pieces))
+    bundles = slim.mapInArrow(_bundles(pattern, context.broadcast(_packed(words)), max_words, max_codes), "ids array<bigint>, codes array<binary>, words array<string>")
     encoded = bundles.select("ids", "codes", F.transform("words", encode).alias("words"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
     def digest(batches):
         if key not in _cached:
             _cached.clear()
-            _cached[key] = Words(shared.value[1], shared.value[2])
+            _cached[key] = Words(_unpacked(shared.value[0]), shared.value[1])
         cache = _cached[key]
         n = len(cache.decimal)
         for b in batches:
             for r in range(b.num_rows):
-                own = Words(b.column(2)[r].values.to_pylist(), shared.value[2])
+                own = Words(b.column(2)[r].values.to_pylist(), shared.value[1])
                 # the cache's lists grow by the bundle's words, and shrink again
                 decimal, decoded = cache.decimal, cache.decoded
                 decimal += own.decimal
