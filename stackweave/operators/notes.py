@@ -9,6 +9,7 @@ from ..functions import text as tx
 
 # Limits of notes and anchors, and the header of a note's file.
 TITLE_CHARS, BODY_BYTES, QUOTE_CHARS, CONTEXT_CHARS = 240, 512 * 1024, 8192, 256
+BLOCK = 100
 HEADER = ("format_version", "note_id", "item_id", "created_at", "updated_at", "archived_at", "title")
 
 
@@ -86,7 +87,7 @@ def locate_passages(passages: DataFrame, texts: DataFrame) -> DataFrame:
 
     Passages are matched through a shared word window, by a hash join: each passage asks with
     its first ``k`` words, each text offers all windows of ``k`` words, and exact counts follow
-    on the pairs that meet.  Passages of fewer words are sought in every text.
+    on the pairs that meet.  Passages of fewer words are sought in every text, in blocks.
     """
     k = 4
     space = r"[^\x20\x09-\x0D]+"
@@ -98,8 +99,11 @@ def locate_passages(passages: DataFrame, texts: DataFrame) -> DataFrame:
     offered = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))).alias("h"))
     met = offered.join(asked.select("h").distinct(), "h", "left_semi").join(asked, "h").select("item_id", "passage", "doc_id").distinct()
     counted = met.join(texts.select("doc_id", "text"), "doc_id").groupBy("item_id").agg(F.sum(tx.occurrences(F.col("text"), F.col("passage"))).cast("bigint").alias("n"))
-    if short.limit(1).count():
-        few = short.select("item_id", "passage")
-        counted = counted.unionByName(texts.select("text").join(few, F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.sum(tx.occurrences(F.col("text"), F.col("passage"))).cast("bigint").alias("n")))
+    asked_short = [(r["item_id"], r["passage"]) for r in short.select("item_id", "passage").toLocalIterator()]
+    for at in range(0, len(asked_short), BLOCK):
+        # passages too short for a window: a block of them at a time against each text
+        block = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(t).alias("passage")) for i, t in asked_short[at : at + BLOCK]])
+        found = texts.select("text", F.explode(F.filter(block, lambda p: F.col("text").contains(p["passage"]))).alias("p")).groupBy("p.item_id")
+        counted = counted.unionByName(found.agg(F.sum(tx.occurrences(F.col("text"), F.col("p.passage"))).cast("bigint").alias("n")))
     out = passages.select("item_id").join(counted, "item_id", "left").withColumn("occurrences", F.coalesce("n", F.lit(0).cast("bigint")))
     return out.select("item_id", "occurrences", F.when(F.col("occurrences") == 0, "NotFound").when(F.col("occurrences") == 1, "Found").otherwise("Ambiguous").alias("state"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def address(payload: Column) -> Column:
     """A payload's address: SHA-256 under the store's domain."""
@@ -23,16 +25,22 @@ def put(blocks: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def reachable_commits(commits: DataFrame, head: int, keep_from: int) -> DataFrame:
-    """Sequences from the head along the parents down to ``keep_from``: a doubling join, so a long chain takes few rounds."""
-    own = commits.where(F.col("sequence") >= keep_from).select(F.col("sequence").alias("at"), F.col("parent").alias("jump"))
-    reach = own.where(F.col("at") == head).select("at")
+    """Sequences from the head along the parents down to ``keep_from``.
+
+    Each round doubles the length of the jumps, so a chain of n commits takes log n rounds;
+    a round's tables are written, so plans stay short.
+    """
+    links = commits.where(F.col("sequence") >= keep_from).select(F.col("sequence").alias("at"), F.col("parent").alias("jump"))
+    jumps = written(links.where(F.col("jump") >= keep_from))
+    reach = written(links.where(F.col("at") == head).select("at"))
+    n = reach.count()
     while True:
-        more = reach.join(own, "at").where("jump is not null").select(F.col("jump").alias("at")).join(reach, "at", "left_anti").distinct()
-        more = more.where(F.col("at") >= keep_from)
-        if more.limit(1).count() == 0:
+        reach = written(reach.unionByName(reach.join(jumps, "at").select(F.col("jump").alias("at"))).distinct())
+        if (now := reach.count()) == n:
             return reach.select(F.col("at").alias("sequence"))
-        reach = reach.unionByName(more).distinct()
-        own = own.alias("x").join(own.alias("y"), F.col("x.jump") == F.col("y.at"), "left").select(F.col("x.at").alias("at"), F.col("y.jump").alias("jump")).unionByName(own).distinct()
+        n = now
+        # all jumps of up to this length are taken, so the next are twice as long
+        jumps = written(jumps.alias("x").join(jumps.alias("y"), F.col("x.jump") == F.col("y.at")).select(F.col("x.at").alias("at"), F.col("y.jump").alias("jump")))
 
 
 def garbage(blocks: DataFrame, refs: DataFrame, live: DataFrame) -> DataFrame:
@@ -59,14 +67,17 @@ def formats(refs: DataFrame, versions: DataFrame, blocks: DataFrame) -> DataFram
 def table_digest(df: DataFrame, order: list[str]) -> DataFrame:
     """One digest of a table's rows in an order that does not depend on how they are dealt out.
 
-    Rows are hashed where they are; their hashes, numbered by the order within ranges, are
-    folded range by range, so no task holds the table.
+    Rows are hashed where they are; their hashes are folded range by range, so no task holds
+    the table.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
-    hashed = df.select(F.struct(*order).alias("o"), row.alias("h"))
-    # ranges by the leading hex digits of the row hash do not depend on the partitioning
-    ranges = hashed.select(F.substring("h", 1, 2).alias("r"), "o", "h").groupBy("r").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"])), 256).alias("h"))
-    return ranges.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"])), 256).alias("digest"))
+    level = df.select(F.struct(*order).alias("o"), row.alias("h"), row.alias("key"))
+    # ranges by the leading hex digits of the row hash do not depend on the partitioning;
+    # a range of the last level holds 2^-24 of the rows, one of the others 4096 digests
+    for digits in (6, 3, 0):
+        folded = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("key", "o", "h"))), lambda x: x["h"])), 256)
+        level = level.select("o", "h", "key", F.substring("key", 1, digits).alias("range")).groupBy("range").agg(folded.alias("h")).select(F.lit("").alias("o"), "h", F.col("range").alias("key"))
+    return level.select(F.col("h").alias("digest"))
 
 
 def union_first(own: DataFrame, other: DataFrame, key: str) -> DataFrame:

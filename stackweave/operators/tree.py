@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 FLAGS = {"overwrite": None, "add": {"add"}, "modify": {"modify"}, "delete": {"delete"}}
 SEGMENT = re.compile(r"/([A-Za-z0-9_.-]+)|\[([0-9]+)\]")
 
@@ -39,12 +41,16 @@ def canonical(parts: list[str | int]) -> bytes:
 
 
 def paths(nodes: DataFrame, depth: int = 100) -> DataFrame:
-    """Rows with their ``path`` and ``level``: a join for each level until one has no rows."""
+    """Rows with their ``path`` and ``level``: a join for each level until one has no rows.
+
+    Levels are written, so that each is made once, from the one above it.
+    """
     level = nodes.where(F.col("parent").isNull()).withColumn("path", F.concat(F.lit("/"), F.col("segment"))).withColumn("level", F.lit(0))
-    out = level
+    out = level = written(level)
     for n in range(1, depth + 1):
         above = level.select(F.col("node").alias("__p"), F.col("path").alias("__path"))
         level = nodes.join(above, F.col("parent") == F.col("__p")).withColumn("path", F.concat("__path", F.when(F.col("segment").rlike(r"^\["), F.col("segment")).otherwise(F.concat(F.lit("/"), F.col("segment"))))).withColumn("level", F.lit(n)).select(*out.columns)
+        level = written(level)
         if level.limit(1).count() == 0:
             return out
         out = out.unionByName(level)
