@@ -40,6 +40,16 @@ FROM customer WHERE c_custkey % 2 = 0""",
 SELECT c_custkey AS item_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title, concat('10.1000/cust', CAST(c_custkey AS STRING)) AS doi,
   concat('pm', CAST(c_custkey * 2 AS STRING)) AS pmid
 FROM customer WHERE c_custkey <= 500""",
+    # the two above over all customers: what does not match differs in its identifiers
+    "all_records": """
+SELECT c_custkey AS record_id, c_name AS title,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('10.1000/OTHER', CAST(c_custkey AS STRING)) ELSE concat('10.1000/CUST', CAST(c_custkey - c_custkey % 2 AS STRING)) END AS doi,
+  concat(CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE 'pm' END, CAST(c_custkey AS STRING)) AS pmid, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS volume
+FROM customer""",
+    "all_library": """
+SELECT c_custkey AS item_id, CASE WHEN c_custkey % 5 < 2 THEN '' ELSE c_name END AS title, concat('10.1000/cust', CAST(c_custkey AS STRING)) AS doi,
+  concat('pm', CAST(c_custkey * 2 AS STRING)) AS pmid
+FROM customer""",
     "assets": """
 SELECT d.doc_id AS asset_id, d.doc_id AS item_id, concat('papers/', CAST(d.doc_id AS STRING), CASE WHEN d.doc_id % 10 = 9 THEN '.txt' ELSE '.pdf' END) AS path,
   d.n_chars AS file_size, d.text AS content, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 0 THEN 'unreadable' ELSE 'available' END AS status

@@ -1,7 +1,9 @@
 """Registered queries of the library's operators, and the same in SQL.
 
 Every query runs over whole tables; a limit stands only where it is the feature (a top-k, a
-page).  The SQL names fixture views, which are put in front of it.
+page), but identity_match, import_preview_counts and record_merge_fill read the partial views
+``records`` and ``library``: their ``_all`` namesakes read every customer.  The SQL names
+fixture views, which are put in front of it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .fixtures import table, view, with_views
+from .fixtures import VIEWS, table, view, with_views
 from .functions import identifiers as ids
 from .functions import text as tx
 from .operators import library, notes, ranking, search, sessions, store, tree
@@ -182,12 +184,12 @@ def _pair(namespace: str, c: str) -> Column:
     return F.struct(F.lit(namespace).alias("namespace"), F.col(c).alias("value"))
 
 
-def _records(spark, d) -> DataFrame:
-    return view(spark, d, "records").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
+def _records(spark, d, of: str = "") -> DataFrame:
+    return view(spark, d, of + "records").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
 
 
-def _library(spark, d) -> DataFrame:
-    return view(spark, d, "library").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
+def _library(spark, d, of: str = "") -> DataFrame:
+    return view(spark, d, of + "library").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
 
 
 MATCH_SQL = """, m AS (SELECT r.record_id, coalesce(d.item_id, p.item_id) AS item_id FROM records r
@@ -200,13 +202,13 @@ def _match_sql(sql: str) -> str:
 
 
 @query(_match_sql("SELECT record_id, item_id FROM m WHERE item_id IS NOT NULL"))
-def identity_match(spark, d):
-    return library.identity_match(_records(spark, d), _library(spark, d))
+def identity_match(spark, d, of=""):
+    return library.identity_match(_records(spark, d, of), _library(spark, d, of))
 
 
 @query(_match_sql("SELECT count(*) FILTER (item_id IS NULL) AS created, count(*) FILTER (item_id IS NOT NULL) AS merged, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM m"))
-def import_preview_counts(spark, d):
-    return library.import_counts(library.import_preview(_records(spark, d), _library(spark, d)))
+def import_preview_counts(spark, d, of=""):
+    return library.import_counts(library.import_preview(_records(spark, d, of), _library(spark, d, of)))
 
 
 @query(
@@ -215,13 +217,24 @@ def import_preview_counts(spark, d):
 FROM library l LEFT JOIN (SELECT m.item_id, arg_min(r.title, r.record_id) AS title, count(*) AS n FROM m JOIN records r USING (record_id) WHERE m.item_id IS NOT NULL GROUP BY 1) b USING (item_id)"""
     )
 )
-def record_merge_fill(spark, d):
-    items = _library(spark, d).select("item_id", "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), F.array().cast("array<struct<source_name:string,external_id:string,original_locator:string>>").alias("sources"), "external_identifiers")
-    recs = _records(spark, d).select("record_id", F.lit("RIS").alias("source_name"), F.col("record_id").cast("string").alias("external_id"), "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), "external_identifiers")
+def record_merge_fill(spark, d, of=""):
+    items = _library(spark, d, of).select("item_id", "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), F.array().cast("array<struct<source_name:string,external_id:string,original_locator:string>>").alias("sources"), "external_identifiers")
+    recs = _records(spark, d, of).select("record_id", F.lit("RIS").alias("source_name"), F.col("record_id").cast("string").alias("external_id"), "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), "external_identifiers")
     merged = library.merge_into_items(items, recs, library.identity_match(recs, items))
     return merged.select("item_id", "title", F.size("sources").cast("bigint").alias("n_records"))
 
 
+def _over_all(f: Query) -> None:
+    sql = ORACLES[f.__name__]
+    for n in ("records", "library"):
+        sql = sql.replace(VIEWS[n], VIEWS[f"all_{n}"])
+    query(sql, f"{f.__name__}_all")(lambda spark, d: f(spark, d, "all_"))
+
+
+for _query in (identity_match, import_preview_counts, record_merge_fill):
+    _over_all(_query)
+
+
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS asset_id, count(*) AS copies FROM documents GROUP BY 1")
 def asset_dedup_by_hash(spark, d):
     return store.dedup_assets(table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.col("text").alias("content")))

@@ -452,3 +452,12 @@ def test_nothing_imports_the_training_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"\bllm\b", p.read_text())
+
+
+def test_identity_queries_reach_every_customer(spark):
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    counts = queries.QUERIES["import_preview_counts_all"](spark, sf).first()
+    assert counts.created + counts.merged == n and counts.created > n // 20
+    assert queries.QUERIES["identity_match_all"](spark, sf).agg({"item_id": "max"}).first()[0] > 500
+    assert queries.QUERIES["record_merge_fill_all"](spark, sf).count() == n
