@@ -2,7 +2,9 @@
 
 Every query runs over whole tables; a limit stands only where it is the feature (a top-k, a
 page), but identity_match, import_preview_counts and record_merge_fill read the partial views
-``records`` and ``library``: their ``_all`` namesakes read every customer.  The SQL names
+``records`` and ``library``, display_size leaves out lengths that are multiples of 512, and
+view_join_inner, view_join_left and view_nested two thirds of the customers: their ``_all``
+namesakes read every row.  The SQL names
 fixture views, which are put in front of it.
 """
 
@@ -258,6 +260,26 @@ def _resolved(view_: views.View, **tables: DataFrame) -> DataFrame:
 JOIN_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders {} JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey"
 
 
+# Over all customers: keys without a partner are made by value, in orders.
+ALL_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS o_custkey, o_totalprice FROM orders) {} JOIN customer ON c_custkey = o_custkey"
+
+
+def _all_joined(spark, d, how: str) -> DataFrame:
+    key = F.when(F.col("o_orderkey") % 7 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"], how), o=_orders(spark, d).withColumn("o_custkey", key), c=views.with_order(customers, "o_custkey"))
+
+
+@query(ALL_SQL.format(""))
+def view_join_inner_all(spark, d):
+    return _all_joined(spark, d, "inner")
+
+
+@query(ALL_SQL.format("LEFT"))
+def view_join_left_all(spark, d):
+    return _all_joined(spark, d, "left")
+
+
 @query(JOIN_SQL.format(""))
 def view_join_inner(spark, d):
     return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"]), o=_orders(spark, d), c=_customers(spark, d))
@@ -292,6 +314,13 @@ def view_nested(spark, d):
     return _resolved(views.View.from_json(v.to_json()), o=_orders(spark, d), c=_customers(spark, d))
 
 
+@query("SELECT o_orderkey, c_name FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 5) JOIN customer ON c_custkey = o_custkey")
+def view_nested_all(spark, d):
+    v = views.select(views.join(views.select(views.table("o"), ["o_orderkey", "o_custkey"], (5, 100)), views.table("c"), ["o_custkey"]), ["o_orderkey", "c_name"])
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return _resolved(views.View.from_json(v.to_json()), o=_orders(spark, d), c=views.with_order(customers, "o_custkey"))
+
+
 def _sum_keys(inputs: list[DataFrame]) -> DataFrame:
     parts = [i.select(F.sum("o_custkey").alias("s"), F.count("*").alias("n")) for i in inputs]
     out = parts[0]
@@ -616,3 +645,10 @@ def display_size(spark, d):
     from .functions.display import size
 
     return table(spark, d, "documents").where("n_chars % 512 <> 0").select("doc_id", size(F.col("n_chars")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) ELSE CAST(n_chars AS VARCHAR) || ' B' END AS shown FROM documents")
+def display_size_all(spark, d):
+    from .functions.display import size
+
+    return table(spark, d, "documents").select("doc_id", size(F.col("n_chars")).alias("shown"))

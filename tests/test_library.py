@@ -461,3 +461,14 @@ def test_identity_queries_reach_every_customer(spark):
     assert counts.created + counts.merged == n and counts.created > n // 20
     assert queries.QUERIES["identity_match_all"](spark, sf).agg({"item_id": "max"}).first()[0] > 500
     assert queries.QUERIES["record_merge_fill_all"](spark, sf).count() == n
+
+
+def test_join_and_size_queries_reach_every_row(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").count()
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    assert queries.QUERIES["display_size_all"](spark, sf).count() == docs
+    assert queries.QUERIES["view_join_inner_all"](spark, sf).count() == orders.where("o_orderkey % 7 <> 0").count()
+    left = queries.QUERIES["view_join_left_all"](spark, sf)
+    assert left.count() == orders.count() and left.where("c_name IS NULL").count() == orders.where("o_orderkey % 7 = 0").count()
+    assert queries.QUERIES["view_nested_all"](spark, sf).count() == 100
