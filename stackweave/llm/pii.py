@@ -2,7 +2,8 @@
 
 Personal numbers, dates and addresses are found by one pattern, validated (Luhn digit,
 octets up to 255, calendar dates, issued social security ranges) and permuted with a key
-within their format; what fails validation stays.  Equal values get equal pseudonyms in
+within their format; what fails validation stays.  Of a run of digit groups every sub-run of whole
+groups is tried as a card.  Equal values get equal pseudonyms in
 every document, so records stay linked, and different values of a format get different ones.
 
 - Phone, card and social security numbers and mailbox names: a Feistel network over the two
@@ -31,10 +32,18 @@ KINDS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)",
+    "card": r"(?<!\d)\d(?:\d|[ -]\d(?!\d*+\.\d)){12,}+(?!\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
 }
 PATTERN = "|".join(KINDS.values())
+# Runs have no longest size: possessive, so that Java matches them without recursion.
+# What else a run of digits may hold; layouts of cards that go before other groupings.
+REST = "|".join(v for k, v in KINDS.items() if k not in ("email", "card"))
+RUN = r"^\d(?:[ -]?\d){12,}+$"
+LAYOUTS = r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+# A letter before a group says how many groups from there on are a card.
+MARKS = "abcdefghijklmnopqrs"
+MARKED = "|".join(rf"{c}\d+(?:[ -][a-s]?\d+){{{n}}}" for n, c in enumerate(MARKS))
 EPOCH, DAY_HALVES = "1850-01-01", (300, 320)
 CLASSES = {"digit": ("0", 10), "lower": ("a", 26), "upper": ("A", 26)}
 
@@ -185,32 +194,88 @@ def pseudonym(m: Column, key: str) -> Column:
     return _let(kind, permuted)
 
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """What is before each match, and the match; last what is behind, and a null."""
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
+
+
+def _marked(run: Column) -> Column:
+    """A run with a letter before each digit group where a card begins.
+
+    Cards are whole groups of 13 to 19 digits with a right Luhn sum: in the usual layouts, or
+    else the longest that reach into none of these and hold no date or social security number.
+    """
+
+    def marked(groups: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size(groups))
+
+        def longest(i: Column, fits) -> Column:
+            def card(n: Column) -> Column:
+                def valid(t: Column) -> Column:
+                    return F.when(t.rlike(r"^\d(?:[ -]?\d){12,18}$") & fits(t, n), luhn_sum(F.regexp_replace(t, r"\D", "")) % 10 == 0).otherwise(False)
+
+                return _let(F.regexp_replace(F.array_join(F.slice(groups, i, n), ""), "^[ -]", ""), valid)
+
+            return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(len(MARKS)), F.size(groups) - i + 1)), card)), F.lit(0))
+
+        def letters(usual: Column) -> Column:
+            def mark(i: Column) -> Column:
+                def free(t: Column, n: Column) -> Column:
+                    return ~t.rlike(KINDS["date"] + "|" + KINDS["ssn"]) & ~F.exists(F.slice(usual, i, n), lambda u: u > 0)
+
+                own = F.get(usual, i - 1)
+                n = F.when(own > 0, own).otherwise(longest(i, free))
+                group = F.get(groups, i - 1)
+                return _let(n, lambda k: F.concat(F.regexp_extract(group, "^[ -]?", 0), F.when(k > 0, F.substring(F.lit(MARKS), k, F.lit(1))).otherwise(""), F.regexp_extract(group, r"\d+", 0)))
+
+            return F.array_join(F.transform(every, mark), "")
+
+        return _let(F.transform(every, lambda i: longest(i, lambda t, n: t.rlike(LAYOUTS))), letters)
+
+    return _let(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), 0), marked)
+
+
+def _cut(run: Column) -> Column:
+    """The pieces of a run of digits: its cards, and what else is between them."""
+
+    def between(p: Column) -> Column:
+        bare = [F.regexp_replace(p[k], "[a-s]", "") for k in ("gap", "hit")]
+        return F.concat(_pieces(bare[0], REST), F.array(F.struct(F.lit("").alias("gap"), bare[1].alias("hit"))))
+
+    return F.flatten(F.transform(_let(_marked(run), lambda t: _pieces(t, MARKED)), between))
+
+
 def found(text: Column) -> Column:
-    """All matches of a text, in order; none where it has no digit and no address."""
-    return F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
+    """The pieces of a text, in order; none where it has no digit and no address."""
+
+    def whole(p: Column) -> Column:
+        before = F.array(F.struct(p["gap"].alias("gap"), F.lit(None).cast("string").alias("hit")))
+        return F.when(p["hit"].rlike(RUN), F.concat(before, _cut(p["hit"]))).otherwise(F.array(p))
+
+    none = F.array().cast("array<struct<gap:string,hit:string>>")
+    return F.when(text.rlike("[0-9@]"), F.flatten(F.transform(_pieces(text, PATTERN), whole))).otherwise(none)
 
 
-def replaced(text: Column, matches: Column, values: Column) -> Column:
-    """The text with its matches replaced by ``values``."""
-    pieces = F.split(text, PATTERN, -1)
-    return F.when(F.size(matches) == 0, text).otherwise(F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), ""))
+def replaced(text: Column, pieces: Column, values: Column) -> Column:
+    """The text with the hits of its pieces replaced by ``values``."""
+    return F.when(F.size(pieces) == 0, text).otherwise(F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p["gap"], F.coalesce(v, F.lit("")))), ""))
 
 
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``df`` with its text pseudonymized; all else as it is."""
     text = F.col(text_col)
-    new = F.when(text.isNull(), text).otherwise(_let(found(text), lambda m: replaced(text, m, F.transform(m, lambda x: pseudonym(x, key)))))
+    new = F.when(text.isNull(), text).otherwise(_let(found(text), lambda m: replaced(text, m, F.transform(m, lambda x: F.when(x["hit"].isNotNull(), pseudonym(x["hit"], key))))))
     return df.withColumn(text_col, new)
 
 
 def pseudonym_table(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_email, n_date, n_ip, n_ssn, n_card, n_phone, n_changed) for each row."""
     text = F.col(text_col)
-    slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.when(text.isNull(), F.array().cast("array<string>")).otherwise(found(text)).alias("__m"))
-    pairs = slim.withColumn("__v", F.transform("__m", lambda x: F.struct(kind_of(x).alias("k"), pseudonym(x, key).alias("v"))))
+    slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), found(F.coalesce(text, F.lit(""))).alias("__m"))
+    pairs = slim.withColumn("__v", F.transform("__m", lambda x: F.when(x["hit"].isNotNull(), F.struct(kind_of(x["hit"]).alias("k"), pseudonym(x["hit"], key).alias("v")))))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("__v", lambda x: x["k"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    changed = F.size(F.filter(F.zip_with("__m", "__v", lambda m, v: m != v["v"]), lambda c: c)).cast("bigint")
+    changed = F.size(F.filter(F.zip_with("__m", "__v", lambda m, v: m["hit"] != v["v"]), lambda c: c)).cast("bigint")
     return pairs.select("doc_id", F.when(F.col("text").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__m"), F.transform("__v", lambda x: x["v"]))).alias("text"), *map(count, KINDS), changed.alias("n_changed"))

@@ -268,6 +268,18 @@ def test_pii_leaves_the_rest_alone(spark):
                 assert not any(m in t for t in seen), m
 
 
+def test_pii_finds_cards_beside_other_numbers(spark):
+    card = "4111111111111111"
+    texts = [f"{card} 123", f"12 {card}", "4111-1111-1111-1111 12", f"id-{card}", f"{card}-x", f"555-123-4567 {card} 99", f"1234567890123456789012 {card}", f"{card} 3.5", "1 " * 30_000 + card]
+    rows = pii.pseudonym_table(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "k").collect()
+    for r in rows:
+        assert r.n_card == 1 and card not in re.sub(r"\D", "", r.text), r
+        assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", texts[r.doc_id])
+    assert {r.doc_id: r.n_phone for r in rows}[5] == 1
+    odd = spark.createDataFrame([(1, "5 2024-01-05 2024-02-06"), (2, "1234 5678 9012 3456")], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_card, r.n_date) for r in pii.pseudonym_table(odd, "k").collect()} == {1: (0, 2), 2: (0, 0)}
+
+
 # 7 -------------------------------------------------------------------------------------------------
 
 
