@@ -1,9 +1,10 @@
 """Secret scans: patterns, and a character convolutional network over every candidate.
 
 Base spans come from three fixed patterns and always stay.  Beyond them every token of 12
-to 256 credential characters that holds a digit and a letter is a candidate; a small
-character CNN, in numpy, reads the candidate with 24 characters around it and adds a span
-of kind ``cnn`` if its calibrated score reaches the threshold.
+and more credential characters is a candidate; a small character CNN, in numpy, reads the
+candidate with 24 characters around it and adds a span of kind ``cnn`` if its calibrated
+score reaches the threshold.  A token of more than 48 characters is read whole, in windows
+of 48 that overlap by half or more; its score is the largest of theirs.
 
 The network is trained on labelled findings: base spans (credential or not is what the
 patterns say) against ordinary tokens and made-up numbers in the same contexts, and again without the
@@ -23,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # every maximal run of 32 and more, as [0-9a-f]+ would find it
 LEAST = {"assign": 8, "access": 16}
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,256}(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}(?![A-Za-z0-9+/_=-])")
 AROUND, INSIDE = 24, 48
 WIDTH = 2 * AROUND + INSIDE
 CLASSES = 96
+BLOCK = 8192  # windows scored at once
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,23 +58,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit and a letter that no base span touches."""
+    """Tokens that no base span touches."""
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))
     out = []
     for m in TOKEN.finditer(text):
-        t = m.group()
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), m.end()))
+        before = bisect_left(starts, m.end())
+        if not before or ends[before - 1] <= m.start():
+            out.append(m.span())
     return out
 
 
-def picture(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes of the token, its middle left out if long, between its surroundings."""
-    token = text[start:end]
-    if len(token) > INSIDE:
-        token = token[: INSIDE // 2] + token[-(INSIDE // 2) :]
-    shown = text[max(0, start - AROUND) : start].rjust(AROUND) + token.ljust(INSIDE) + text[end : end + AROUND].ljust(AROUND)
-    codes = np.frombuffer(shown.encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    return np.where((codes >= 32) & (codes < 127), codes - 31, 0)
+def _classes(shown: str) -> np.ndarray:
+    codes = np.frombuffer(shown.encode("utf-32-le", "replace"), dtype="<u4")
+    return np.where((codes >= 32) & (codes < 127), codes - 31, 0).astype(np.uint8)
+
+
+def offsets(length: int) -> range | list[int]:
+    """Where the windows of a token begin."""
+    return [0] if length <= INSIDE else [*range(0, length - INSIDE, INSIDE // 2), length - INSIDE]
+
+
+def picture(text: str, start: int, end: int, at: int = 0) -> np.ndarray:
+    """Character classes of the token's window from ``at`` on, between its surroundings."""
+    start, end = start + at, min(end, start + at + INSIDE)
+    return _classes(text[max(0, start - AROUND) : start].rjust(AROUND) + text[start:end].ljust(INSIDE) + text[end : end + AROUND].ljust(AROUND))
 
 
 class Network:
@@ -157,25 +169,30 @@ def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], li
     """Pictures and labels: 0 ordinary, 1 a finding, 2 a finding that nothing before it announces."""
     base = base_spans(text)
     x, y = [], []
+
+    def one(text: str, s: int, e: int) -> np.ndarray:
+        at = offsets(e - s)
+        return picture(text, s, e, at[int(rng.integers(len(at)))] if len(at) > 1 else 0)
+
     for s, kind, e in base:
         if kind == 0:
             s = ASSIGN.search(text, s).start(1)
-        x.append(picture(text, s, e))
+        x.append(one(text, s, e))
         y.append(1)
         # the same value with no word before it that gives it away
         at = int(rng.integers(0, max(1, len(text) - 60)))
         bare = text[at : at + 40].rsplit(" ", 1)[0] + " "
-        x.append(picture(bare + text[s:e] + " " + text[at + 40 : at + 80], len(bare), len(bare) + e - s))
+        x.append(one(bare + text[s:e] + " " + text[at + 40 : at + 80], len(bare), len(bare) + e - s))
         y.append(2)
     plain = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     for i in rng.permutation(len(plain))[: 4 + 2 * len(base)].tolist():
         s, e = plain[i]
         if not any(a < e and s < b for a, _, b in base):
-            x.append(picture(text, s, e))
+            x.append(one(text, s, e))
             y.append(0)
             # the same context round a token that is none: numbers, versions, words joined
             other = str(rng.choice(["".join(map(str, rng.integers(0, 10, 16))), f"v{rng.integers(99)}.{rng.integers(99)}.{rng.integers(999)}-rc{rng.integers(9)}", "_".join(text[a:b] for a, b in plain[max(0, i - 1) : i + 2])[:60] + str(rng.integers(9)), f"2024-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(24):02d}"]))
-            x.append(picture(text[:s] + other + text[e:], s, s + len(other)))
+            x.append(one(text[:s] + other + text[e:], s, s + len(other)))
             y.append(0)
     return x, y
 
@@ -218,19 +235,32 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **traini
         n = net.value
         for b in batches:
             bases, shown, owner, spots = [], [], [], []
+            best: list[float] = []
+
+            def settle() -> None:
+                for j, sc in zip(owner, n.score(np.array(shown)).tolist(), strict=True):
+                    best[j] = max(best[j], sc)
+                shown.clear()
+                owner.clear()
+
             for i, v in enumerate(b.column(1)):
                 blob = v.as_py()
                 text = blob.decode("utf-8", "replace") if blob else ""
                 bases.append(base_spans(text))
                 for s, e in candidates(text, bases[-1]):
-                    owner.append(i)
-                    spots.append((s, 3, e))
-                    shown.append(picture(text, s, e))
-            added: list[list] = [[] for _ in bases]
+                    spots.append((i, (s, 3, e)))
+                    best.append(0.0)
+                    for at in offsets(e - s):
+                        owner.append(len(best) - 1)
+                        shown.append(picture(text, s, e, at))
+                        if len(shown) == BLOCK:
+                            settle()
             if shown:
-                for i, spot, sc in zip(owner, spots, n.score(np.array(shown)).tolist(), strict=True):
-                    if sc >= n.threshold:
-                        added[i].append(spot)
+                settle()
+            added: list[list] = [[] for _ in bases]
+            for (i, spot), sc in zip(spots, best, strict=True):
+                if sc >= n.threshold:
+                    added[i].append(spot)
             kinds = [[sum(k == kind for _, k, _ in x) for x in bases] for kind in range(3)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(k, pa.int64()) for k in kinds), pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in bases]), pa.array([_joined(sorted(x + a)) for x, a in zip(bases, added, strict=True)], pa.string()), pa.array(list(map(len, added)), pa.int64())],

@@ -434,6 +434,25 @@ def test_network_tells_secrets_from_words(spark):
     assert secretscan.candidates(text, base) == [(23, 51)] and base == [(0, 0, 18)]
 
 
+def test_network_reads_whole_tokens(spark):
+    text = "see " + "x" * 500 + " and abcdefghijklmnop 1234567890123456 end"
+    assert secretscan.candidates(text, []) == [(4, 504), (509, 525), (526, 542)]
+    for n in (12, 48, 49, 95, 96, 500):
+        at = list(secretscan.offsets(n))
+        assert set().union(*(range(a, min(n, a + 48)) for a in at)) == set(range(n)) and at == sorted(set(at))
+    # a key in the middle of a long token, where only the ends were read
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    net = secretscan.learn(docs)
+    rng = np.random.default_rng(4)
+    found = 0
+    for _ in range(40):
+        token = "a" * 400 + "".join(rng.choice(list("0123456789abcdef"), 40)) + "a" * 400
+        text = f"as it says {token} in the text"
+        scores = net.score(np.array([secretscan.picture(text, 11, 11 + len(token), at) for at in secretscan.offsets(len(token))]))
+        found += scores.max() >= net.threshold
+    assert found > 20
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
