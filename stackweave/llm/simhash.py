@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, utf8, words
@@ -56,15 +56,20 @@ def fingerprint(blob: bytes | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): each row's fingerprint as a signed 64-bit number."""
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col))
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(doc_id, fp): each row's fingerprint as a signed 64-bit number; and its text's digest if asked."""
 
     def compute(batches):
         for b in batches:
             fps = np.array([fingerprint(v.as_py()) for v in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(compute, "doc_id bigint, fp bigint")
+    more = [_digest(text_col).alias("digest")] if digests else []
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"), *more).mapInArrow(compute, "doc_id bigint, fp bigint" + (", digest bigint" if digests else ""))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -171,29 +176,40 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return nodes.mapInArrow(search, "a bigint, b bigint")
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row."""
-    per_row = materialize(fingerprints(df, id_col, text_col), "fingerprints")
+def _groups(df: DataFrame, id_col: str, text_col: str, digests: bool = False) -> DataFrame:
+    """(doc_id, fp, root, component_id) for each row; with its text's digest if asked."""
+    per_row = materialize(fingerprints(df, id_col, text_col, digests), "fingerprints")
     reps = materialize(per_row.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
     links = materialize(fingerprint_links(reps.select("fp")), "fp-links").distinct()
     # name nodes by fingerprint: every one is distinct and not null
     roots = components(links)
     grouped = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "root").select("fp", "component_id")
-    return per_row.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = grouped.join(names, "root").select("fp", "root", "component_id")
+    return per_row.join(named, "fp")
+
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row."""
+    return _groups(df, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their group: its smallest id, one row if that id repeats.
+    """One row of ``df`` for each group: the one with its smallest id, by the texts' digests if that id repeats.
 
-    Rows without an id cannot be named, so all of them stay.
+    Rows are told apart by id and digest (64 bits), so an id may repeat with other texts or
+    be null; a group without any id keeps one row too.
     """
-    groups = materialize(simhash_groups(df, id_col, text_col), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    stands = groups.where("doc_id = component_id").agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    kept = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    if stands["n"] != stands["d"]:
-        named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = named.unionByName(kept.where(F.col(id_col).isNull()))
+    groups = materialize(_groups(df, id_col, text_col, digests=True).select("doc_id", "digest", "root", "component_id"), "groups")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    n = groups.where(named).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("d")).first()
+    repeats = n["n"] != n["d"]
+    gone = groups.where(~named).select("doc_id", "digest")
+    if repeats:
+        first = groups.where(named).groupBy("root").agg(F.min("digest").alias("first"))
+        gone = gone.unionByName(groups.where(named).join(first, "root").where("digest <> first").select("doc_id", "digest"))
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct()
+    kept = df.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__gone")) & (_digest(text_col) == F.col("__digest")), "left_anti")
+    if repeats:
+        kept = kept.withColumn("__copy", _digest(text_col)).dropDuplicates([id_col, "__copy"]).drop("__copy")
     return kept

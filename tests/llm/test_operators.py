@@ -373,6 +373,13 @@ def test_one_of_each_group_stays(spark):
     assert got[6] == 1 and got[30] == 0 and got[1] == 1 and got[None] == 1 and simhash.one_of_each(df).columns == df.columns
 
 
+def test_one_of_each_goes_by_row(spark):
+    texts = ["the quick brown fox jumps", "over a lazy dog that sleeps", "seven green apples on trees", "nothing like any of those words"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[2]), (7, texts[3]), (None, texts[3]), (None, "rows without an id here"), (None, "rows without an id here")]
+    got = Counter((r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == Counter([(1, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3]), (None, "rows without an id here")])
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1001), (5, 4)], "a bigint, b bigint")
