@@ -3,11 +3,13 @@
 A text is the set of its terms, hashed to 2^22 numbers.  The score is the logistic of
 ``w0 + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2)``: linear weights and, through the factors
 v, pairwise interactions, so that two terms which are harmless alone can count together.
-Terms that the labels say nothing about have neither weight nor factor.
+A term has a weight and factors if the labels say something about it (``least_z``), or about
+it together with another term (``least_pair_z``), even where each alone is balanced.
 
 Learning is the one bounded step: at most ``max_rows`` labelled rows (smallest hash of the
 id first), whose term numbers alone reach the driver.  Every row is scored, on its whole
-text.  The model (``max_terms`` weights and factors) is all that is broadcast.
+text.  The model (weights and factors of terms of those rows) is all that is broadcast.
+Only texts go to Python, and one score for each comes back: rows stay in the JVM.
 
 Nulls: a null or empty text has no terms and scores the model's base rate; a null id counts
 as the empty text for the fold; labels null or other than 0 and 1 are not learnt from, and
@@ -31,6 +33,7 @@ from .common import lowest_hashes, utf8
 TERM = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 SPACE = (1 << 22) - 1
+MEMO = 1 << 16  # terms whose number a worker remembers
 
 
 def terms(blob: bytes | None) -> set[str]:
@@ -55,9 +58,12 @@ class Machine:
         self.place = {int(k): i for i, k in enumerate(kept)}
         self.memo: dict[str, int] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "memo": {}}
+
     def active(self, found: set[str]) -> list[int]:
         memo = self.memo
-        if len(memo) > 1_000_000:
+        if len(memo) > MEMO:
             memo.clear()
         out = set()
         for t in found:
@@ -78,8 +84,42 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-min(max(z, -500.0), 500.0)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, max_terms: int = 4096, rank: int = 6, epochs: int = 15, seed: int = 7, least_z: float = 3.5, l2: float = 1e-4) -> Machine:
-    """Keeps the terms whose presence differs most by label (z of the log odds), then AdaGrad on the logistic loss."""
+def _log_odds(y: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """|z| of the log odds of ``n`` rows with a term, ``pos`` of them labelled 1, by label."""
+    p1, p0 = (pos + 0.5) / (y.sum() + 1), (n - pos + 0.5) / (len(y) - y.sum() + 1)
+    return np.abs(np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))) / np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5))
+
+
+def pair_terms(present: np.ndarray, y: np.ndarray, least_z: float, block: int = 256) -> np.ndarray:
+    """Which terms (columns of a 0/1 matrix) interact with another: the odds ratio of one and the label differs by the other.
+
+    Eight counts a pair come from two products of the matrix, taken in blocks of columns.
+    """
+    out = np.zeros(present.shape[1], dtype=bool)
+    toxic = present[y > 0]
+    sides = [(m.sum(axis=0, dtype=np.float64), float(len(m)), m) for m in (toxic, present[y <= 0])]
+    for at in range(0, present.shape[1], block):
+        contrast, variance = 0.0, 0.0
+        for sign, (n, rows, m) in zip((1, -1), sides, strict=True):
+            both = (m[:, at : at + block].T @ m).astype(np.float64)
+            one, other = n[at : at + block, None], n[None]
+            for s, cell in ((1, both), (-1, one - both), (-1, other - both), (1, rows - one - other + both)):
+                contrast = contrast + sign * s * np.log(cell + 0.5)
+                variance = variance + 1 / (cell + 0.5)
+        strong = np.abs(contrast) >= least_z * np.sqrt(variance)
+        strong[np.arange(len(strong)), np.arange(at, at + len(strong))] = False
+        out |= strong.any(axis=0)
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 6, epochs: int = 15, seed: int = 7, least_z: float = 3.5, least_rows: int = 5, least_pair_z: float = 6.0, pair_share: float = 0.05, l2: float = 1e-4) -> Machine:
+    """AdaGrad on the logistic loss, for the terms that the labels tell apart.
+
+    Those are terms in ``least_rows`` rows whose log odds differ by label with ``least_z``
+    deviations, and, of the terms in a share ``pair_share`` of the rows at least, those with
+    an interaction of ``least_pair_z`` deviations (rarer terms cannot be balanced alone and
+    tell together).  A term that one class has by chance alone is noise.
+    """
     y = labels.astype(np.float64)
     if not len(rows) or y.min() == y.max():
         return Machine(-500.0 if not len(rows) or y.max() == 0 else 500.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
@@ -89,11 +129,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, max_terms: int = 4096, rank:
     at = at.astype(np.int32)
     n = np.bincount(at, minlength=len(names))
     pos = np.bincount(at[y[owner] > 0], minlength=len(names))
-    p1, p0 = (pos + 0.5) / (y.sum() + 1), (n - pos + 0.5) / (len(y) - y.sum() + 1)
-    z = np.abs(np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))) / np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5))
-    # a term that one class has by chance alone is noise: three and a half deviations, and five rows
-    good = np.flatnonzero((z >= least_z) & (n >= 5))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:max_terms]])
+    chosen = (_log_odds(y, pos, n) >= least_z) & (n >= least_rows)
+    common = np.flatnonzero((n >= max(least_rows, pair_share * len(y))) & (n < len(y)))
+    column = np.full(len(names), -1, dtype=np.int32)
+    column[common] = np.arange(len(common))
+    shown = column[at] >= 0
+    present = np.zeros((len(y), len(common)), dtype=np.float32)
+    present[owner[shown], column[at[shown]]] = 1
+    chosen[common[pair_terms(present, y, least_pair_z)]] = True
+    del present, shown
+    good = np.flatnonzero(chosen)
     place = np.full(len(names), -1)
     place[good] = np.arange(len(good))
     keep = place[at] >= 0
@@ -146,31 +191,27 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit([flat[ends[i] : ends[i + 1]] for i in order.tolist()], labels_)
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row."""
-    machine = df.sparkSession.sparkContext.broadcast(learn(df, labels, id_col, text_col, label_col, max_rows))
+def score(df: DataFrame, machine: Machine, text_col: str = "text") -> Column:
+    """The score of each row's text: an Arrow function of that one column."""
+    shared = df.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches):
-        m = machine.value
-        for b in batches:
-            scores = [m.score(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+    def run(texts: pa.Array) -> pa.Array:
+        m = shared.value
+        return pa.array((m.score(x.as_py()) for x in texts), pa.float64())
 
-    slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), utf8(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return F.arrow_udf(run, "double")(utf8(text_col))
 
 
-def keep_clean(df: DataFrame, labels: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """The rows of ``df``, all columns kept, whose text is not predicted toxic; rows go through whole, without a join."""
-    machine = df.sparkSession.sparkContext.broadcast(learn(df, labels, text_col=text_col, **names))
-    place = df.columns.index(text_col)
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row."""
+    machine = learn(df, labels, id_col, text_col, label_col, max_rows)
+    scored = df.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(df, machine, text_col).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def run(batches):
-        m = machine.value
-        for b in batches:
-            yield b.filter(pa.array([m.score(x.encode() if x is not None else None) < 0.5 for x in b.column(place).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+def keep_clean(df: DataFrame, labels: DataFrame, text_col: str = "text", **names) -> DataFrame:
+    """The rows of ``df``, all columns kept, whose text is not predicted toxic; without a join."""
+    return df.where(score(df, learn(df, labels, text_col=text_col, **names), text_col) < 0.5)
 
 
 def crc_fold(value: object) -> int:
