@@ -11,14 +11,19 @@ a rolling window of the other.  The steps:
    A hash that is an aligned block somewhere and starts at two places or more is an anchor;
    the reply is one bit for each hash sent.  A passage in a third of all documents costs one
    hash a chunk, so no hash is hot.
-3. Hits are extended: every 35-word window around an anchored block is hashed, again one
-   distinct hash a chunk, and is repeated if the hash starts at two places.  Consecutive
-   repeated windows are the maximal exact repeats; their words are covered.
+3. Hits are extended word by word to both sides, to every 35-word window around an anchored
+   block; a window is repeated if its fingerprint, again one distinct one a chunk, starts at
+   two places.  Consecutive repeated windows are the maximal exact repeats; their words are
+   covered.
 
 The 18-word step compares 32 bits within a bucket and only proposes, so a false hit costs
-time and nothing else.  The last step compares 64 bits within a bucket that another 64-bit
-hash chooses.  ``chunk_bytes`` bounds the memory of a task and grows with the machine, not
-with the data.
+time and nothing else.  The last step compares fingerprints in place of the 35 words, so that
+a passage in a third of all documents is never compared in pairs: 96 bits from the two
+independent halves of each word's XXH3-128, within a bucket that further bits choose.  Of
+10^12 windows, equal fingerprints of different words are to be expected in one run of 10^10.
+A chunk's words and hashes are all that a task holds: ``chunk_bytes`` is its measure and
+grows with the machine, not with the data.  A chunk sends one row for each bucket at most,
+and never more rows than keys.
 
 Nulls: a null text has no words; a null id is carried through.  Rows that repeat repeat
 each other.  Documents under 35 words lose nothing.  Other columns are ignored.  An empty
@@ -28,13 +33,13 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +100,10 @@ class Chunk:
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
         n = int(counts.sum())
-        self.hashes = np.fromiter((x for w in self.words if len(w) >= window for x in map(xxhash.xxh64_intdigest, w)), dtype=np.uint64, count=n)
+        digest = xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join(b"".join(map(digest, w)) for w in self.words if len(w) >= window), dtype=np.uint64).reshape(-1, 2)
+        self.hashes, self.checks = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+        del halves
         self.offset = (np.arange(n) - np.repeat(self.starts, counts)).astype(np.int32)
         self.left = (np.repeat(self.ends, counts) - np.arange(n)).astype(np.int32)
 
@@ -120,30 +128,42 @@ class Chunk:
         return at[total[at + self.window - self.block + 1] > total[at]]
 
     def windows(self, at: np.ndarray, buckets: int):
-        """Buckets and 64-bit keys of the windows that start at ``at``: distinct, ascending; each one's place."""
+        """Fingerprints (bucket, 64 bits, 32 bits) of the windows that start at ``at``: distinct, ascending; each one's place."""
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-        keys = rolling(self.hashes, self.window)[at]
-        bucket = ((rolling(self.hashes ^ K1, self.window)[at] >> S32) * np.uint64(buckets)) >> S32
-        order = np.lexsort((keys, bucket))
-        k, b = keys[order], bucket[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        keys, checks = rolling(self.hashes, self.window)[at], rolling(self.checks, self.window)[at]
+        bucket = ((checks >> S32) * np.uint64(buckets)) >> S32
+        order, new = _sorted(bucket, keys, checks.astype(np.uint32))
         place = np.empty(len(at), dtype=np.int64)
         place[order] = np.cumsum(new) - 1
-        return b[new].astype(np.int64), k[new], place, np.bincount(place) > 1
+        first = order[new]
+        return bucket[first].astype(np.int64), keys[first], checks[first].astype(np.uint32), place, np.bincount(place) > 1
+
+
+def _sorted(*lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by all lanes, the first one foremost; and which of that order differ from those before."""
+    order = np.lexsort(lanes[::-1])
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = False
+    for x in lanes:
+        sorted_ = x[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
+    return order, new
 
 
 def _bundle(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = made = 0
+        first = TaskContext.get().partitionId() << 32
 
         def flush():
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for b in held:
                     out.write_batch(b)
-            return pa.RecordBatch.from_pydict({"chunk": [uuid.uuid4().hex], "docs": [sink.getvalue().to_pybytes()]}, pa.schema([("chunk", pa.string()), ("docs", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"chunk": [first + made], "docs": [sink.getvalue().to_pybytes()]}, pa.schema([("chunk", pa.int64()), ("docs", pa.binary())]))
 
         from .common import batches_of
 
@@ -151,7 +171,7 @@ def _bundle(limit: int):
             for part in batches_of(b, "text", limit):
                 if held and size + part.nbytes > limit:
                     yield flush()
-                    held, size = [], 0
+                    held, size, made = [], 0, made + 1
                 # a copy: a slice would keep, and send, the whole batch's buffers
                 held.append(pa.RecordBatch.from_pylist(part.to_pylist(), part.schema))
                 size += held[-1].nbytes
@@ -171,54 +191,66 @@ def _docs(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _send(chunk: str, bucket: np.ndarray, keys: np.ndarray, flags: list[np.ndarray], kind: type) -> pa.RecordBatch | None:
+SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("flags", pa.binary())])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("good", pa.binary())])
+SENT_DDL, ANSWER_DDL = "bucket bigint, chunk bigint, keys binary, checks binary, flags binary", "chunk bigint, bucket bigint, good binary"
+
+
+def _send(chunk: int, bucket: np.ndarray, keys: np.ndarray, checks: np.ndarray | None, flags: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One row for each bucket that a chunk has keys for."""
     if not len(keys):
-        return None
+        return
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     last = np.append(first[1:], len(bucket))
-    rows = {"bucket": bucket[first].tolist(), "chunk": [chunk] * len(first), "keys": [], "flags": []}
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        rows["keys"].append(pack(keys[a:b].astype(kind)))
-        rows["flags"].append(b"".join(np.packbits(f[a:b]).tobytes() for f in flags))
-    return pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int64()), ("chunk", pa.string()), ("keys", pa.binary()), ("flags", pa.binary())]))
-
-
-SENT = "bucket bigint, chunk string, keys binary, flags binary"
+    for at in range(0, len(first), 4096):
+        rows: dict = {"bucket": bucket[first[at : at + 4096]].tolist(), "keys": [], "checks": [], "flags": []}
+        rows["chunk"] = [chunk] * len(rows["bucket"])
+        for a, b in zip(first[at : at + 4096].tolist(), last[at : at + 4096].tolist(), strict=True):
+            rows["keys"].append(pack(keys[a:b]))
+            rows["checks"].append(checks[a:b].tobytes() if checks is not None else None)
+            rows["flags"].append(b"".join(np.packbits(f[a:b]).tobytes() for f in flags))
+        yield pa.RecordBatch.from_pydict(rows, SENT)
 
 
 def _resolver(kind: type, n_flags: int):
     """For the rows of one bucket: which of each chunk's keys start at two places or more (and, of two flags, are a block somewhere)."""
 
-    def resolve(rows):
-        import pandas as pd
-
-        sent = [unpack(k, kind) for k in rows["keys"]]
+    def resolve(rows: pa.Table) -> pa.Table:
+        sent = [unpack(k.as_py(), kind) for k in rows["keys"]]
         sizes = [len(k) for k in sent]
-        flags = [[np.unpackbits(np.frombuffer(f, np.uint8)[i * ((n + 7) // 8) : (i + 1) * ((n + 7) // 8)], count=n).astype(bool) for i in range(n_flags)] for f, n in zip(rows["flags"], sizes, strict=True)]
-        keys, inverse, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        flags = [[np.unpackbits(np.frombuffer(f, np.uint8)[i * ((n + 7) // 8) : (i + 1) * ((n + 7) // 8)], count=n).astype(bool) for i in range(n_flags)] for f, n in zip((x.as_buffer() for x in rows["flags"]), sizes, strict=True)]
+        lanes = [np.concatenate(sent)]
+        del sent
+        if rows["checks"][0].is_valid:
+            lanes.append(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["checks"]]))
+        order, new = _sorted(*lanes)
+        del lanes
+        inverse = np.empty(len(order), dtype=np.int32)
+        inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        count = np.bincount(inverse)
         any_of = []
         for i in range(n_flags):
-            got = np.zeros(len(keys), dtype=bool)
+            got = np.zeros(len(count), dtype=bool)
             got[inverse[np.concatenate([f[i] for f in flags])]] = True
             any_of.append(got)
         good = (count > 1) | any_of[0]
         for got in any_of[1:]:
             good &= got
         out, at = [], 0
-        for chunk, n in zip(rows["chunk"], sizes, strict=True):
+        for chunk, bucket, n in zip(rows["chunk"].to_pylist(), rows["bucket"].to_pylist(), sizes, strict=True):
             mine = good[inverse[at : at + n]]
             at += n
             if mine.any():
-                out.append((chunk, int(rows["bucket"].iloc[0]), np.packbits(mine).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "good"])
+                out.append({"chunk": chunk, "bucket": bucket, "good": np.packbits(mine).tobytes()})
+        return pa.Table.from_pylist(out, ANSWER)
 
     return resolve
 
 
 def _replies(sent: DataFrame, kind: type, n_flags: int) -> DataFrame:
     """Per chunk the list of (bucket, bits)."""
-    answers = sent.groupBy("bucket").applyInPandas(_resolver(kind, n_flags), "chunk string, bucket bigint, good binary")
+    answers = sent.groupBy("bucket").applyInArrow(_resolver(kind, n_flags), ANSWER_DDL)
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "good")).alias("replies"))
 
 
@@ -239,10 +271,10 @@ def _sha(kept: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row; ``with_text`` adds the kept words as ``kept``."""
     spark = df.sparkSession
-    chunks = materialize(df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(_bundle(chunk_bytes), "chunk string, docs binary"), "chunks")
+    chunks = materialize(df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(_bundle(chunk_bytes), "chunk bigint, docs binary"), "chunks")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count() // 4, 1)
     extra = ", kept binary" if with_text else ""
 
@@ -251,10 +283,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for row in _rows(b):
                 c = Chunk(_docs(row["docs"]).column("text").to_pylist(), window)
                 _, keys, _, multi, is_block, _ = c.anchors(buckets)
-                if (out := _send(row["chunk"], (keys >> S32).astype(np.int64), keys & np.uint64(0xFFFFFFFF), [multi, is_block], np.uint32)) is not None:
-                    yield out
+                del c
+                yield from _send(row["chunk"], (keys >> S32).astype(np.int64), keys.astype(np.uint32), None, [multi, is_block])
 
-    anchored = _replies(chunks.mapInArrow(probe, SENT), np.uint32, 2)
+    anchored = _replies(chunks.mapInArrow(probe, SENT_DDL), np.uint32, 2)
 
     def extend(batches):
         """Results of the documents without a candidate window, and bundles of the others with theirs."""
@@ -272,7 +304,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 plain = np.flatnonzero(~has).tolist()
                 kept = [c.words[i] for i in plain]
                 out = _result([ids[i] for i in plain], list(map(len, kept)), [0] * len(plain), list(map(_sha, kept)))
-                out |= {"chunk": pa.nulls(len(plain), pa.string()), "docs": pa.nulls(len(plain), pa.binary())}
+                out |= {"chunk": pa.nulls(len(plain), pa.int64()), "docs": pa.nulls(len(plain), pa.binary())}
                 if with_text:
                     out["kept"] = pa.array([b" ".join(w) for w in kept], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
@@ -284,12 +316,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                         w.write_batch(rest)
-                    out = _result([None], [None], [None], [None]) | {"chunk": pa.array([row["chunk"]], pa.string()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+                    out = _result([None], [None], [None], [None]) | {"chunk": pa.array([row["chunk"]], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
                     if with_text:
                         out["kept"] = pa.nulls(1, pa.binary())
                     yield pa.RecordBatch.from_pydict(out)
 
-    first = materialize(chunks.join(anchored, "chunk", "left").mapInArrow(extend, f"{RESULT}, chunk string, docs binary{extra}"), "first-pass")
+    first = materialize(chunks.join(anchored, "chunk", "left").mapInArrow(extend, f"{RESULT}, chunk bigint, docs binary{extra}"), "first-pass")
     rest = first.where("chunk is not null").select("chunk", "docs")
 
     def load(blob):
@@ -301,17 +333,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for row in _rows(b):
                 _, c, starts = load(row["docs"])
-                bucket, keys, _, multi = c.windows(starts, buckets)
-                if (out := _send(row["chunk"], bucket, keys, [multi], np.uint64)) is not None:
-                    yield out
+                bucket, keys, checks, _, multi = c.windows(starts, buckets)
+                del c
+                yield from _send(row["chunk"], bucket, keys, checks, [multi])
 
-    repeated = _replies(rest.mapInArrow(send, SENT), np.uint64, 1)
+    repeated = _replies(rest.mapInArrow(send, SENT_DDL), np.uint64, 1)
 
     def cut(batches):
         for b in batches:
             for row in _rows(b):
                 ids, c, starts = load(row["docs"])
-                bucket, _, place, _ = c.windows(starts, buckets)
+                bucket, _, _, place, _ = c.windows(starts, buckets)
                 found = starts[_marked(bucket, row["replies"])[place]]
                 edge = np.zeros(len(c.hashes) + window + 1, dtype=np.int64)
                 np.add.at(edge, found, 1)
