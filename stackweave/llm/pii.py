@@ -12,7 +12,12 @@ every document, so records stay linked, and different values of a format get dif
   A card's last digit is the Luhn digit of the new number; a phone's country code and an
   address's domain stay.
 - IPv4 addresses: a Feistel network over two halves of 16 bits.
-- Dates: a Feistel network over 300 x 320 day numbers from 1850-01-01 on, in the same layout.
+- Dates: a Feistel network over the day numbers of the date's era (300 x 320 days from
+  1850-01-01 on, all days before, all after), in the same layout.  ``01/02/2024`` is a date
+  by month and day or by day and month, so dates with slashes are permuted as strings, among
+  all that are a date in either way.  Where a network's numbers are more than the valid
+  ones, it is applied until it gives a valid one (cycle walking), which is a permutation too.
+- Phone numbers have no check digit; whatever has their layout counts.
 
 Nulls: a null text stays null, and nothing is found in it.  Rows that repeat get equal
 results.  All columns of the input are kept by :func:`pseudonymize`; the text is replaced.
@@ -45,6 +50,12 @@ LAYOUTS = r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]
 MARKS = "abcdefghijklmnopqrs"
 MARKED = "|".join(rf"{c}\d+(?:[ -][a-s]?\d+){{{n}}}" for n, c in enumerate(MARKS))
 EPOCH, DAY_HALVES = "1850-01-01", (300, 320)
+# Days before and after those, years of dates with slashes: (kind, first, count) of each era.
+DAYS_BEFORE, DAYS_AFTER = 675_333, 2_880_726
+YEARS = [("slash0", 1, 1849), ("slash1", 1850, 263), ("slash2", 2113, 7887)]
+MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+#: Of the numbers of dates with slashes 61 % are valid: 0.39^96 is the chance that so many steps find none.
+WALK = 96
 CLASSES = {"digit": ("0", 10), "lower": ("a", 26), "upper": ("A", 26)}
 
 
@@ -153,14 +164,61 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.exists(parts, lambda x: x > 255), m).otherwise(octets)
 
 
+def walked(value: Column, left: int, right: int, key: str, kind: str, valid) -> Column:
+    """A permutation of the valid ones of 0 .. left * right - 1; ``value`` is one of them."""
+    steps = F.sequence(F.lit(1), F.lit(WALK))
+    return F.aggregate(steps, feistel_number(value, left, right, key, kind), lambda v, _: F.when(valid(v), v).otherwise(feistel_number(v, left, right, key, kind)))
+
+
+def _day(day: Column, key: str) -> Column:
+    """A day number from ``EPOCH`` on, permuted within its era."""
+    size = DAY_HALVES[0] * DAY_HALVES[1]
+
+    def era(offset: Column, count: int, kind: str) -> Column:
+        return walked(offset, (count - 1) // 1700 + 1, 1700, key, kind, lambda v: v < count)
+
+    return (
+        F.when(day.between(0, size - 1), feistel_number(day, *DAY_HALVES, key, "date"))
+        .when(day < 0, era(day + DAYS_BEFORE, DAYS_BEFORE, "date0") - DAYS_BEFORE)
+        .otherwise(era(day - size, DAYS_AFTER, "date2") + size)
+    )
+
+
+def _slash_valid(n: Column, first: int) -> Column:
+    """Whether a number names a date by month and day or by day and month."""
+    year, a, b = F.floor(n / 961) + first, F.floor(n / 31) % 31 + 1, n % 31 + 1
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+
+    def fits(month: Column, day: Column) -> Column:
+        length = F.get(F.array(*map(F.lit, MONTHS)), (month - 1).cast("int")) + F.when((month == 2) & leap, 1).otherwise(0)
+        return F.coalesce(day <= length, F.lit(False))
+
+    return fits(a, b) | fits(b, a)
+
+
+def _slashes(m: Column, key: str) -> Column:
+    """A date with slashes, permuted among the strings that are one; null if it is none."""
+    a, b, year = (F.substring(m, F.lit(at), F.lit(n)).cast("bigint") for at, n in ((1, 2), (4, 2), (7, 4)))
+
+    def era(kind: str, first: int, years: int) -> Column:
+        def printed(v: Column) -> Column:
+            return F.concat(F.lpad((F.floor(v / 31) % 31 + 1).cast("string"), 2, "0"), F.lit("/"), F.lpad((v % 31 + 1).cast("string"), 2, "0"), F.lit("/"), F.lpad((F.floor(v / 961) + first).cast("string"), 4, "0"))
+
+        n = ((year - first) * 31 + a - 1) * 31 + b - 1
+        return _let(n, lambda v: F.when(_slash_valid(v, first), _let(walked(v, 31 * years, 31, key, kind, lambda x: _slash_valid(x, first)), printed)))
+
+    out = F.lit(None).cast("string")
+    for kind, first, years in YEARS:
+        out = F.when(year.between(first, first + years - 1), era(kind, first, years)).otherwise(out)
+    return F.when(a.between(1, 31) & b.between(1, 31), out)
+
+
 def _date(m: Column, key: str) -> Column:
     def permuted(layout: str) -> Column:
         day = F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), F.lit(EPOCH).cast("date"))
-        size = DAY_HALVES[0] * DAY_HALVES[1]
-        return _let(day, lambda d: F.when(d.between(0, size - 1), F.date_format(F.date_add(F.lit(EPOCH).cast("date"), feistel_number(d, *DAY_HALVES, key, "date").cast("int")), layout)))
+        return _let(day, lambda d: F.when(d.isNotNull(), F.date_format(F.date_add(F.lit(EPOCH).cast("date"), _day(d, key).cast("int")), layout)))
 
-    slashes = F.coalesce(permuted("MM/dd/yyyy"), permuted("dd/MM/yyyy"))
-    return F.coalesce(F.when(m.contains("/"), slashes).when(m.contains("-"), permuted("yyyy-MM-dd")).otherwise(permuted("dd.MM.yyyy")), m)
+    return F.coalesce(F.when(m.contains("/"), _slashes(m, key)).when(m.contains("-"), permuted("yyyy-MM-dd")).otherwise(permuted("dd.MM.yyyy")), m)
 
 
 def kind_of(m: Column) -> Column:
