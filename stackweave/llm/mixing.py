@@ -62,9 +62,10 @@ def allocate(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     before = family.orderBy("ratio", name).rowsBetween(Window.unboundedPreceding, -1)
     c = children.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(0.0)))
     c = c.withColumns({"cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "weight_before": F.coalesce(F.sum("weight").over(before), F.lit(0)), "weight_all": F.sum("weight").over(family)})
-    c = c.withColumn("full", F.expr("cap * (weight_all - weight_before) <= weight * (budget - cap_before)"))
+    # products of tokens and weights in decimals of 38 digits: a bigint would overflow
+    c = c.withColumn("full", F.expr("cast(cap as decimal(20)) * cast(weight_all - weight_before as decimal(18)) <= cast(weight as decimal(18)) * cast(budget - cap_before as decimal(20))"))
     c = c.withColumns({"cap_full": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family), "weight_full": F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0)).over(family)})
-    alloc = F.when(F.col("full"), F.col("cap")).otherwise(F.expr("(weight * (budget - cap_full)) div nullif(weight_all - weight_full, 0)"))
+    alloc = F.when(F.col("full"), F.col("cap")).otherwise(F.expr("(cast(weight as decimal(18)) * cast(budget - cap_full as decimal(20))) div nullif(weight_all - weight_full, 0)"))
     return c.withColumn("alloc", F.coalesce(alloc, F.lit(0)).cast("bigint")).drop("ratio", "cap_before", "weight_before", "weight_all", "full", "cap_full", "weight_full", "budget")
 
 
@@ -139,13 +140,16 @@ def mixed_rows(df: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, max_
     """
     docs = materialize(slim_docs(df, id_col, text_col, lang_col, source_col), "tokens")
     plan = materialize(plan_mix(docs, weights, max_epochs, seed), "mix-plan")
-    own = [f"__{n}" for n in LEAF]
-    keyed = df.withColumns({f"__{n}": c for n, c in leaf_columns(df, lang_col, source_col).items()})
-    line = plan.select(*[F.col(n).alias(f"__{n}") for n in LEAF], F.col("epochs").alias("__epochs"), F.col("cutoff").alias("__cutoff"))
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in df.columns):  # no name of the input is taken
+        mark += "_"
+    own = [mark + n for n in LEAF]
+    keyed = df.withColumns({mark + n: c for n, c in leaf_columns(df, lang_col, source_col).items()})
+    line = plan.select(*[F.col(n).alias(mark + n) for n in [*LEAF, "epochs", "cutoff"]])
     joined = keyed.join(F.broadcast(line) if plan.count() <= BROADCAST_LEAVES else line, own)
-    more = F.col("__cutoff").isNotNull() & (order_key(F.col("__epochs"), F.col(id_col), seed) <= F.col("__cutoff"))
-    times = (F.col("__epochs") + more.cast("bigint")).cast("int")
-    return joined.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in df.columns])
+    more = F.col(mark + "cutoff").isNotNull() & (order_key(F.col(mark + "epochs"), F.col(id_col), seed) <= F.col(mark + "cutoff"))
+    times = (F.col(mark + "epochs") + more.cast("bigint")).cast("int")
+    return joined.where(times > 0).withColumn(mark + "copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def oracle(weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
