@@ -8,7 +8,9 @@ is calibrated: exact neighbours of at most ``calibration`` queries are found by
 those with all rows in blocks, and visits are widened until ``recall`` of them is reached.
 
 Visits and rows meet by a shuffle on (leaf, part); a leaf is cut into parts of about
-``part_rows`` rows, so no task holds more.  Vectors that are equal become one row with
+``part_rows`` rows and, beyond ``query_rows`` queries, its queries into slices that each
+meet all parts, so no task holds more.  The tree has at most a sixteenth of ``sample_rows``
+leaves: beyond ``leaf_rows`` times that many vectors a larger sample keeps leaves small.  Vectors that are equal become one row with
 their smallest ids, as many as a result can show, which loses nothing: they tie.
 
 Nearness is the cosine in double precision (exactly rounded sums of the original vectors),
@@ -39,7 +41,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(parts, lambda x: x != 0), F.lit(False))
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Vectors (rows, or one) times a power of two each, largest component near one: squares stay in range, cosines as they are."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=-1, keepdims=True))[1]) if m.size else m
+
+
 def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
     return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
@@ -117,14 +125,15 @@ class Tree:
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
     """The cosine of two vectors from exactly rounded sums."""
+    a, b = scaled(a), scaled(b)
     return math.fsum((a * b).tolist()) / (math.sqrt(math.fsum((a * a).tolist())) * math.sqrt(math.fsum((b * b).tolist())))
 
 
 def nearest(query_ids, queries: np.ndarray, row_ids: list[list[int]], rows: np.ndarray, k: int, block: int = 256):
     """Each query's k nearest among rows: rough scores by a matrix product, exact ones for all that may count."""
-    scaled = unit(rows)
+    units = unit(rows)
     for at in range(0, len(queries), block):
-        rough = unit(queries[at : at + block]) @ scaled.T
+        rough = unit(queries[at : at + block]) @ units.T
         most = min(k + 1, len(rows))
         bound = np.partition(rough, len(rows) - most, axis=1)[:, len(rows) - most] - 1e-9
         for i, near in enumerate(rough >= bound[:, None]):
@@ -148,7 +157,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def neighbours(df: DataFrame, query: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample_rows: int = 20_000, leaf_rows: int = 400, calibration: int = 256, recall: float = 0.97, part_rows: int = 50_000) -> DataFrame:
+def neighbours(df: DataFrame, query: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample_rows: int = 20_000, leaf_rows: int = 400, calibration: int = 256, recall: float = 0.97, part_rows: int = 50_000, query_rows: int = 50_000) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest; ``query`` picks the rows that are queries (all by default)."""
     spark = df.sparkSession
     picked = F.lit(True) if query is None else F.coalesce(query, F.lit(False))
@@ -164,7 +173,8 @@ def neighbours(df: DataFrame, query: Column | None = None, id_col: str = "vec_id
     sample = unit(_matrix(lowest_hashes(rows, F.xxhash64("v"), sample_rows, n).select("v").toArrow().column(0).combine_chunks()))
     tree = Tree(sample, max(1, min(n // leaf_rows, len(sample) // 16)))
     queries = good.where("q").select("id", "v").dropDuplicates(["id", "v"])
-    tests = lowest_hashes(queries, F.xxhash64("v", "id"), calibration, queries.count()).toArrow()
+    n_queries = queries.count()
+    tests = lowest_hashes(queries, F.xxhash64("v", "id"), calibration, n_queries).toArrow()
     test_ids, test_vecs = tests.column(0).to_pylist(), _matrix(tests.column(1).combine_chunks()) if tests.num_rows else np.zeros((0, 1))
 
     def compare(batches):
@@ -206,6 +216,13 @@ def neighbours(df: DataFrame, query: Column | None = None, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array([x for x, _ in leaves], pa.int64()), pa.array([p for _, p in leaves], pa.int64())], ["id", "v", "leaf", "part"])
 
     visits = queries.select("id", "v").mapInArrow(visit, "id bigint, v array<double>, leaf bigint, part bigint")
+    slices = F.lit(1).cast("bigint")
+    if n_queries > query_rows:  # else no leaf is visited by more
+        heavy = {r["leaf"]: -(-r["count"] // query_rows) for r in visits.where("part = 0").groupBy("leaf").count().where(F.col("count") > query_rows).collect()}
+        if heavy:
+            slices = F.coalesce(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv])[F.col("leaf")], F.lit(1)).cast("bigint")
+    visits = visits.withColumn("slice", F.pmod(F.xxhash64("id"), slices))
+    placed = placed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -213,5 +230,5 @@ def neighbours(df: DataFrame, query: Column | None = None, id_col: str = "vec_id
         q, r = left.combine_chunks(), right.combine_chunks()
         return pa.Table.from_batches([_pack(nearest(q.column("id").to_pylist(), _matrix(q.column("v").combine_chunks()), r.column("ids").to_pylist(), _matrix(r.column("v").combine_chunks()), k))])
 
-    found = visits.groupBy("leaf", "part").cogroup(placed.groupBy("leaf", "part")).applyInArrow(meet, RESULT)
+    found = visits.groupBy("leaf", "part", "slice").cogroup(placed.groupBy("leaf", "part", "slice")).applyInArrow(meet, RESULT)
     return _top(found, k)
