@@ -118,11 +118,6 @@ def _forest(n: int, pairs) -> np.ndarray:
     """Root of each of n members after joining all linked pairs."""
     root = np.arange(n)
 
-    def find(x):
-        while (root[x] != root[root[x]]).any():
-            root[x] = root[root[x]]
-        return root[x]
-
     for a, b in pairs:
         while len(a):
             ra, rb = root[a], root[b]
@@ -154,7 +149,9 @@ def _keyed(fps: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that join all groups; ``fps`` has distinct fp."""
-    nodes = _keyed(fps).groupBy("mask", "pattern").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
+    # dealt out anew: the 28 rows of each fingerprint are made by as many tasks as read them
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = _keyed(spread).groupBy("mask", "pattern").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
 
     def search(batches):
         for b in batches:
