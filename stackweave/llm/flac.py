@@ -2,12 +2,15 @@
 
 Every text becomes a lossless mono FLAC stream of 8-bit samples: its UTF-8 bytes, filled
 up with bytes 255 to a positive multiple of 576, one frame for each 576 samples.  Frames
-are coded as constant, verbatim, fixed or linear predictors with partitioned Rice residuals,
-each with its CRC-8 and CRC-16; a seek table names every frame's first sample and offset.
+are coded as constant, verbatim, fixed or linear predictors (fitted to each frame) with
+partitioned Rice residuals, whichever is shortest, each with its CRC-8 and CRC-16; a seek
+table names every frame's first sample and offset.  The format has room for 932,067 of them;
+a longer stream names every second, third.. frame, and the others are found from there.
 
 The decoder takes frames of any block size and predictor order (mono; several channels are
 refused), verifies both checksums of every frame and the stream's MD5, and yields PCM
-blocks with their sample offsets.  Frames are decoded side by side, one array step for the
+blocks with their sample offsets: :func:`pcm_blocks` makes them the rows of a table, and
+:func:`read_samples` reads from any sample on without decoding what is before.  Frames are decoded side by side, one array step for the
 n-th residual of all of them, so no Python loop runs over samples.
 
 Memory is bounded by ``SLICE`` bytes of text (or one text, if longer).  Nulls: a null text
@@ -33,6 +36,7 @@ BLOCK = 576
 PARTITION_ORDER = 2
 SLICE = 4 << 20
 RATE = 8000
+ORDER, SHIFT = 4, 10  # of the fitted predictors
 # Fixed values of the format: block sizes and sample widths by their codes, fixed predictors by order.
 BLOCK_SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 WIDTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
@@ -113,12 +117,28 @@ def _rice(u: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return cost.argmin(axis=0), cost.min(axis=0).sum(axis=1) + 8 * first + 4 * parts + 6
 
 
-def _predict(samples: np.ndarray, coefs: list[int], shift: int) -> np.ndarray:
-    """Residuals of frames (rows) under a predictor; the first samples are left as they are."""
+def fitted(samples: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+    """Each frame's linear predictor: from its autocorrelation by Levinson's recursion, in 1024ths."""
+    x = samples.astype(np.float64)
+    r = [(x[:, k:] * x[:, : BLOCK - k]).sum(axis=1) for k in range(order + 1)]
+    error = r[0] * (1 + 1e-9) + 1e-9
+    a = np.zeros((len(x), order))
+    for i in range(order):
+        k = (r[i + 1] - sum(a[:, j] * r[i - j] for j in range(i))) / error
+        new = a.copy()
+        new[:, i] = k
+        for j in range(i):
+            new[:, j] = a[:, j] - k * a[:, i - 1 - j]
+        a, error = new, np.maximum(error * (1 - k * k), 1e-9)
+    return list(np.clip(np.rint(a * (1 << SHIFT)), -(1 << 14), (1 << 14) - 1).astype(np.int32).T)
+
+
+def _predict(samples: np.ndarray, coefs: list, shift: int) -> np.ndarray:
+    """Residuals of frames (rows) under a predictor (numbers, or one for each frame); the first samples are left as they are."""
     r = samples.copy()
     order = len(coefs)
     if order:
-        guess = sum(c * samples[:, order - 1 - j : BLOCK - 1 - j] for j, c in enumerate(coefs))
+        guess = sum((c[:, None] if np.ndim(c) else c) * samples[:, order - 1 - j : BLOCK - 1 - j] for j, c in enumerate(coefs))
         r[:, order:] -= guess >> shift
     return r
 
@@ -140,7 +160,8 @@ def _pack_fields(values: np.ndarray, widths: np.ndarray, gaps: np.ndarray) -> tu
 def _bodies(samples: np.ndarray, predictor: tuple[list[int], int] | None) -> list[bytes]:
     """The subframe of each row of 576 samples, by the cheapest coding."""
     n = len(samples)
-    codings = [(8 + order, FIXED[order], 0) for order in range(5)]
+    codings: list[tuple] = [(8 + order, FIXED[order], 0) for order in range(5)]
+    codings.append((31 + ORDER, fitted(samples), SHIFT))
     if predictor:
         codings.append((31 + len(predictor[0]), *predictor))
     residuals = [_zigzag(_predict(samples, c, s)) for _, c, s in codings]
@@ -163,7 +184,7 @@ def _bodies(samples: np.ndarray, predictor: tuple[list[int], int] | None) -> lis
         order, m = len(coefs), len(rows)
         u, k = residuals[which][rows], choices[which][0][rows]
         head = [(kind << 1, 8)]
-        after = [(14, 4), (shift & 31, 5), *((c & 0x7FFF, 15) for c in coefs)] if kind >= 32 else []
+        after = [(14, 4), (shift & 31, 5), *(((c[rows] if np.ndim(c) else c) & 0x7FFF, 15) for c in coefs)] if kind >= 32 else []
         after.append((PARTITION_ORDER, 6))
         values, widths, gaps = [], [], []
 
@@ -191,7 +212,7 @@ def _bodies(samples: np.ndarray, predictor: tuple[list[int], int] | None) -> lis
 def encode(payloads: list[bytes], predictor: tuple[list[int], int] | None = None) -> list[bytes]:
     """FLAC streams of payloads whose lengths are positive multiples of 576.
 
-    ``predictor`` (coefficients of 15 bits and a shift) is tried besides the fixed ones.
+    ``predictor`` (coefficients of 15 bits and a shift) is tried besides the fixed and fitted ones.
     """
     flat = np.frombuffer(b"".join(payloads), np.uint8)
     samples = flat.reshape(-1, BLOCK).astype(np.int32) - 128
@@ -458,6 +479,47 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     return blocks
 
 
+def read_samples(stream: bytes, first: int, count: int) -> np.ndarray:
+    """``count`` samples from ``first`` on: decoding begins at the seek point before them.
+
+    The frames that are read must have right checksums; samples beyond the end are left out.
+    """
+    width, total, _, seek, begin = _metadata(stream)
+    until = min(first + count, total)
+    if first >= until:
+        return np.zeros(0, np.int64)
+    at, offset = max((p for p in [(0, 0), *seek] if p[0] <= first), key=lambda p: p[0])
+    place, found, start = begin + offset, [], at
+    while at < until:
+        samples, ends = _decode_at(stream, [place], width)
+        found.append(samples[0])
+        at, place = at + len(samples[0]), int(ends[0])
+    return np.concatenate(found)[first - start : until - start]
+
+
+BLOCKS = "first_sample bigint, n_samples bigint, pcm binary"
+
+
+def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(doc_id, first_sample, n_samples, pcm): a row for each frame of each row's stream.
+
+    ``pcm`` holds signed little-endian samples of 1, 2 or 4 bytes.  A null stream has no rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for b in batches_of(batch, "media", SLICE):
+                keep = [(i, m) for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if m is not None]
+                for (i, m), blocks in zip(keep, decode([m for _, m in keep]), strict=True):
+                    width = _metadata(m)[0]
+                    kind = "<i1" if width <= 8 else "<i2" if width <= 16 else "<i4"
+                    for at in range(0, len(blocks), 4096):
+                        part = blocks[at : at + 4096]
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.int64()), pa.array([f for f, _ in part], pa.int64()), pa.array([len(x) for _, x in part], pa.int64()), pa.array([x.astype(kind).tobytes() for _, x in part], pa.binary())], ["doc_id", "first_sample", "n_samples", "pcm"])
+
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, f"doc_id bigint, {BLOCKS}")
+
+
 def payload(blob: bytes | None) -> bytes:
     """The bytes that are stored for a text: filled up with 255 to a positive multiple of 576."""
     raw = blob or b""
