@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder, which
-    is removed when the process ends.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder,
+    which is removed when the process ends; on a cluster its absence is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="stackweave-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -50,15 +52,15 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def lowest_hashes(df: DataFrame, hash_: Column, n: int, total: int) -> DataFrame:
-    """Up to ``n`` rows of the lowest 64-bit hashes, of ``total`` rows.
+def lowest_hashes(df: DataFrame, hash_: Column, n: int, total: int, where: Column | None = None) -> DataFrame:
+    """Up to ``n`` rows of the lowest 64-bit hashes, of the ``total`` rows that ``where`` picks.
 
     Rows far above are left out first, so that what meets in one place follows ``n`` and
-    not the number of partitions.
+    not the number of partitions, and ``where`` is asked of few rows.
     """
     share = min(1.0, (2 * n + 50) / max(total, 1))
     near = df if share == 1.0 else df.where(hash_ <= int(-(2**63) + share * 2**64) - 1)
-    return near.orderBy(hash_).limit(n)
+    return (near if where is None else near.where(where)).orderBy(hash_).limit(n)
 
 
 def words(blob: bytes | None) -> list[bytes]:

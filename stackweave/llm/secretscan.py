@@ -7,13 +7,13 @@ score reaches the threshold.  A token of more than 48 characters is read whole,
 of 48 that overlap by half or more; its score is the largest of theirs.
 
 The network is trained on labelled findings: base spans (credential or not is what the
-patterns say) against ordinary tokens and made-up numbers in the same contexts, and again without the
-word that announces them, from at
-most ``max_docs`` documents with a finding and as many without (smallest hash of the id
-first; the only bounded step).  A quarter of them is held back, to fit a slope and an
-offset to the scores (Platt), and to choose the threshold: one half, or as far below it
-as finding ``recall`` of the held-back secrets that no word announces asks for, though
-not below ``floor``.
+patterns say) against ordinary tokens and made-up numbers in the same contexts, and again
+without the word that announces them, with their own values or made-up ones of credentials'
+alphabets, from at most ``max_docs`` documents with a finding and as many without (smallest hash of the id
+first, of the texts of ``max_chars`` characters at most; the only bounded step: every text
+is scanned).  A quarter of them is held back, to fit a slope and an offset to the scores
+(Platt), and to choose the threshold: one half, or as far below it as finding ``recall`` of
+the held-back secrets that no word announces asks for.
 
 Nulls: a null text counts as empty; a null id is carried through.  Rows that repeat are
 scanned each.  Offsets are code points, ends exclusive.  Other columns are ignored.  An
@@ -42,6 +42,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # every maximal run of 32 and more, as [0-9a
 LEAST = {"assign": 8, "access": 16}
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}(?![A-Za-z0-9+/_=-])")
+# The alphabets of credentials.
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 AROUND, INSIDE = 24, 48
 WIDTH = 2 * AROUND + INSIDE
 CLASSES = 96
@@ -141,7 +143,7 @@ class Network:
                     b += 0.001 * (v * v - b)
                     self.p[k] -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, floor: float) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
         """Platt's slope and offset by Newton steps, then the recall-constrained threshold."""
         z = self.logits(x)
         n = (y > 0).sum()
@@ -162,7 +164,7 @@ class Network:
             self.slope, self.offset = float(a), float(b)
         found = np.sort(self.score(x[y == 2]))[::-1]  # the kind that candidates are
         wanted = float(found[max(0, int(np.ceil(recall * len(found))) - 1)]) if len(found) else 2.0
-        self.threshold = max(floor, min(0.5, wanted)) if len(found) else 2.0
+        self.threshold = min(0.5, wanted) if len(found) else 2.0
 
 
 def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], list[int]]:
@@ -179,10 +181,13 @@ def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], li
             s = ASSIGN.search(text, s).start(1)
         x.append(one(text, s, e))
         y.append(1)
-        # the same value with no word before it that gives it away
+        # the same value, or another in one of credentials' alphabets, with no word before it that gives it away
+        value = text[s:e]
+        if rng.random() < 0.7:
+            value = "".join(rng.choice(list(ALPHABETS[int(rng.integers(len(ALPHABETS)))]), int(rng.integers(16, 65))))
         at = int(rng.integers(0, max(1, len(text) - 60)))
         bare = text[at : at + 40].rsplit(" ", 1)[0] + " "
-        x.append(one(bare + text[s:e] + " " + text[at + 40 : at + 80], len(bare), len(bare) + e - s))
+        x.append(one(bare + value + " " + text[at + 40 : at + 80], len(bare), len(bare) + len(value)))
         y.append(2)
     plain = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     for i in rng.permutation(len(plain))[: 4 + 2 * len(base)].tolist():
@@ -197,16 +202,15 @@ def _examples(text: str, rng: np.random.Generator) -> tuple[list[np.ndarray], li
     return x, y
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, recall: float = 0.95, floor: float = 0.1) -> Network:
-    """A network from at most ``max_docs`` documents that look like they hold findings and as many others.
+LIKELY = r"AKIA[A-Z0-9]{12}|(?<![0-9a-f])[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 
-    Of the texts, those of more than 20,000 characters are not learnt from (they are scanned).
-    """
-    hash_ = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    short = df.where(F.length(text_col) <= 20000).select(hash_.alias("h"), F.col(text_col).alias("text"))
-    likely = F.col("text").rlike(r"AKIA[A-Z0-9]{12}|(?<![0-9a-f])[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
+
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400, max_chars: int = 20_000, recall: float = 0.95) -> Network:
+    """A network from at most ``max_docs`` documents that look like they hold findings and as many others."""
+    short = df.where(F.length(text_col) <= max_chars).select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    likely = F.col("text").rlike(LIKELY)
     counts = short.agg(F.count_if(likely).alias("likely"), F.count(F.lit(1)).alias("all")).first()
-    texts = [r["text"] for rows, n in ((short.where(likely), counts["likely"]), (short, counts["all"])) for r in lowest_hashes(rows, F.col("h"), max_docs, n).collect()]
+    texts = [r["text"] for kind, n in ((likely, counts["likely"]), (F.lit(True), counts["all"])) for r in lowest_hashes(short, F.col("h"), max_docs, n, kind).collect()]
     rng = np.random.default_rng(5)
     x, y = [], []
     for t in texts:
@@ -219,7 +223,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
     if min((y[back] == 2).sum(), (y[~back] > 0).sum(), (y[back] == 0).sum()) < 5:
         return net
     net.train(x[~back], (y[~back] > 0).astype(np.float64))
-    net.calibrate(x[back], y[back], recall, floor)
+    net.calibrate(x[back], y[back], recall)
     return net
 
 
