@@ -190,6 +190,75 @@ def test_flac_codings(predictor):
             flac.decode([bytes(broken)])
 
 
+def test_flac_blocks_and_seeking(spark):
+    df = odd_docs(spark)
+    media = flac.store_as_flac(df, with_media=True).where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: (r.text or "").encode() for r in df.where("doc_id is not null").collect()}
+    parts = {}
+    for r in flac.pcm_blocks(media).collect():
+        assert r.n_samples == 576 == len(r.pcm)
+        parts.setdefault(r.doc_id, {})[r.first_sample] = bytes(r.pcm)
+    for i, t in texts.items():
+        assert sorted(parts[i]) == list(range(0, 576 * len(parts[i]), 576))
+        back = bytes(b ^ 0x80 for k in sorted(parts[i]) for b in parts[i][k])
+        assert back[: len(t)] == t and set(back[len(t) :]) <= {255}
+    stream = bytes(media.where("doc_id = 5").first().media)
+    for first, count in ((0, 10), (575, 2), (576, 576), (100_000, 3000), (len(texts[5]) - 5, 4), (10**9, 5)):
+        assert bytes((flac.read_samples(stream, first, count) + 128).astype(np.uint8)) == texts[5][first : first + count]
+    assert flac.pcm_blocks(media.limit(0)).count() == 0
+
+
+def test_flac_golden_frames():
+    """Streams put together bit by bit from the format's definition: fixed, linear (of each frame its own), escaped, constant, verbatim."""
+
+    def crc(data, poly, width):
+        c = 0
+        for b in data:
+            c ^= b << (width - 8)
+            for _ in range(8):
+                c = (c << 1 ^ poly if c >> (width - 1) else c << 1) & ((1 << width) - 1)
+        return c
+
+    def frame(n, bits):
+        head = bytes([0xFF, 0xF8, 0x64, 0x02, n, 15])  # 8-bit block size less one: 16 samples
+        head += bytes([crc(head, 7, 8)])
+        bits += "0" * (-len(bits) % 8)
+        body = head + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        return body + crc(body, 0x8005, 16).to_bytes(2, "big")
+
+    def two(v, n):
+        return f"{v & (1 << n) - 1:0{n}b}"
+
+    def rice(values, k):
+        u = [2 * v if v >= 0 else -2 * v - 1 for v in values]
+        return "0" * 6 + two(k, 4) + "".join("0" * (x >> k) + "1" + (two(x, k) if k else "") for x in u)
+
+    ramp, wave = [3 * i - 20 for i in range(16)], [5, 9, -3, 2, 77, -80, 100, -100, 1, 0, -1, 64, -64, 33, 12, -7]
+    guess = [(1500 * wave[i - 1] - 700 * wave[i - 2]) >> 10 for i in range(2, 16)]
+    frames = [
+        ("0" + f"{8 + 1:06b}" + "0" + two(ramp[0], 8) + rice([3] * 15, 2), ramp),
+        ("0" + f"{31 + 2:06b}" + "0" + two(wave[0], 8) + two(wave[1], 8) + two(14, 4) + two(10, 5) + two(1500, 15) + two(-700, 15) + rice([w - g for w, g in zip(wave[2:], guess)], 6), wave),
+        ("0" + f"{8:06b}" + "0" + "0" * 6 + "1111" + two(8, 5) + "".join(two(w, 8) for w in wave), wave),
+        ("0" + "000000" + "0" + two(-9, 8), [-9] * 16),
+        ("0" + "000001" + "0" + "".join(two(w, 8) for w in wave), wave),
+    ]
+    pcm = [x for _, s in frames for x in s]
+    bits = 8000 << 44 | 7 << 36 | len(pcm)
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + bits.to_bytes(8, "big") + hashlib.md5(bytes(x & 255 for x in pcm)).digest()
+    stream = b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(frame(n, b) for n, (b, _) in enumerate(frames))
+    assert [(f, s.tolist()) for f, s in flac.decode([stream])[0]] == [(16 * n, s) for n, (_, s) in enumerate(frames)]
+    assert flac.read_samples(stream, 20, 30).tolist() == pcm[20:50]
+
+
+def test_flac_stores_linear_predictors():
+    t = np.arange(576 * 20)
+    wave = (np.sin(t * 1.1) * 60 + np.sin(t * 0.6 + 1) * 50 + 128).astype(np.uint8).tobytes()
+    stream = flac.encode([wave])[0]
+    _, _, _, seek, begin = flac._metadata(stream)
+    kinds = Counter(stream[begin + o + 6] >> 1 for _, o in seek)
+    assert kinds[31 + flac.ORDER] == 20, kinds
+
+
 def test_flac_without_seek_table():
     w = bytes(range(250)) * 576
     m = flac.encode([w])[0]
@@ -512,7 +581,7 @@ def test_network_tells_secrets_from_words(spark):
         secret.append(secretscan.picture(t[:at] + value + t[at - 1 :], at, at + len(value)))
         word = re.compile(r"[^\x20\x09-\x0D]+").search(t, at)
         plain.append(secretscan.picture(t, *word.span()))
-    assert (net.score(np.array(secret)) >= net.threshold).mean() > 0.7
+    assert (net.score(np.array(secret)) >= net.threshold).mean() >= 0.9
     assert (net.score(np.array(plain)) >= net.threshold).mean() < 0.02
     # spans of the network come beside base spans, never over them
     text = "token=abcdefgh1234 and " + "0a1b2c3d4e5f60718293a4b5c6d7 end"
