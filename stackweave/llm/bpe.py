@@ -5,6 +5,9 @@ encoded once, and the words that are frequent in a bounded sample once for all b
 The encoding is a Spark higher-order fold over the word's bytes: the state holds the parts'
 ids and the ranks of all adjacent pairs; a step merges the leftmost pair of the lowest rank.
 Ranks come from a literal map of (left id, right id) to the merged id, which is its rank too.
+That fold touches all pairs at every merge.  Words of more than ``LONG`` bytes are folded by
+distinct pairs instead: a step merges every place of the lowest pair in one native replacement
+of the state's string, so its steps are as many as there are different merges, not places.
 Decoding concatenates the ids' binary pieces, first of a word, then of a text.
 
 Around the fold, Arrow batches carry each bundle: its distinct words, and for every text the
@@ -37,6 +40,8 @@ from .common import lowest_hashes, utf8
 
 #: Ids are kept as characters from here on, so that none is a control character.
 SHIFT = 256
+#: Words of more bytes than this are folded by distinct pairs.
+LONG = 512
 
 
 @lru_cache(maxsize=4)
@@ -158,7 +163,60 @@ def word_encoder(ranks: dict[bytes, int]):
 
         return _let(F.array_min(ranks_), at_lowest)
 
+    def pair_list(text: Column, found: Column) -> Column:
+        """Of pairs of letters (strings of two): those that merge, as (rank, pair)."""
+
+        def with_rank(p: Column) -> Column:
+            return F.struct(rank(F.ascii(p), F.ascii(F.substring(p, 2, 1))).alias("rank"), p.alias("pair"))
+
+        return F.filter(F.transform(F.array_distinct(found), with_rank), lambda p: p["rank"].isNotNull())
+
+    def merge_all(state: Column, _: Column) -> Column:
+        """All merges of the lowest pair; or only the leftmost, where a new pair has a lower rank or another pair the same."""
+        text, pairs = state["text"], state["pairs"]
+
+        def at_lowest(low: Column) -> Column:
+            letter = F.get(letters, low["rank"] - 1)
+
+            def neighbours(new: Column) -> Column:
+                before = F.regexp_extract_all(new, F.concat(F.lit("(?<=([\\s\\S]))"), letter), F.lit(1))
+                after = F.regexp_extract_all(new, F.concat(letter, F.lit("(?=([\\s\\S]))")), F.lit(1))
+                return F.concat(F.transform(F.array_distinct(before), lambda x: F.concat(x, letter)), F.transform(F.array_distinct(after), lambda x: F.concat(letter, x)))
+
+            def next_state(new: Column, old: Column) -> Column:
+                return F.struct(new.alias("text"), F.array_distinct(F.concat(old, pair_list(new, neighbours(new)))).alias("pairs"))
+
+            alike = F.exists(pairs, lambda p: (p["rank"] == low["rank"]) & (p["pair"] != low["pair"]))
+
+            def leftmost() -> Column:
+                ways = F.transform(F.filter(pairs, lambda p: p["rank"] == low["rank"]), lambda p: F.instr(text, p["pair"]))
+                # pairs that are gone have no place
+                return _let(F.array_min(F.filter(ways, lambda i: i > 0)), lambda at: F.when(at.isNull(), F.struct(text.alias("text"), F.filter(pairs, lambda p: p["rank"] != low["rank"]).alias("pairs"))).otherwise(next_state(F.overlay(text, letter, at, F.lit(2)), pairs)))
+
+            def checked(new: Column) -> Column:
+                lower = F.exists(new["pairs"], lambda p: p["rank"] < low["rank"])
+                return F.when(lower, leftmost()).otherwise(new)
+
+            others = F.filter(pairs, lambda p: p["pair"] != low["pair"])
+            every = _let(F.replace(text, low["pair"], letter), lambda new: next_state(new, others))
+            return F.when(low.isNull(), state).when(alike, leftmost()).otherwise(_let(every, checked))
+
+        return _let(F.array_min(pairs), at_lowest)
+
+    def encode_long(word: Column) -> Column:
+        text = F.array_join(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(letters, F.get(single, F.ascii(c)) - 1)), "")
+
+        def fold(t: Column) -> Column:
+            start = F.struct(t.alias("text"), pair_list(t, F.regexp_extract_all(t, F.lit("(?=([\\s\\S]{2}))"), F.lit(1))).alias("pairs"))
+            # each step takes a pair off the list, of at most 3 n ever made, or merges one place, of at most n
+            return F.aggregate(F.sequence(F.lit(1), 4 * F.length(t)), start, merge_all)["text"]
+
+        return _let(text, fold)
+
     def encode(word: Column) -> Column:
+        return F.when(F.octet_length(word) > LONG, encode_long(word)).otherwise(encode_short(word))
+
+    def encode_short(word: Column) -> Column:
         # ISO-8859-1 makes one character of each byte
         first_letters = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
 
@@ -169,6 +227,7 @@ def word_encoder(ranks: dict[bytes, int]):
 
         return _let(first_letters, fold)
 
+    encode.short, encode.long = encode_short, encode_long
     return encode
 
 

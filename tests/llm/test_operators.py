@@ -52,6 +52,20 @@ def test_bpe_equals_the_library(spark):
         assert Counter(map(tuple, got.collect())) == want
 
 
+def test_bpe_of_long_words(spark):
+    """Both folds against the library: words of few letters, where merges overlap, and very long ones."""
+    ranks = bpe.load_ranks(queries.RANKS)
+    enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "aab", "abcdefgh", "etaoinshrdlu", "éü漢字あい", "aA1 -_", "😀a") for n in (1, 2, 3, 4, 5, 9, 17, 40, 200) for _ in range(5)]
+    words += ["a" * n for n in (2, 3, 31, 1000)] + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3000))]
+    encode = bpe.word_encoder(ranks)
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    for r in df.select("w", encode.long(F.col("w")).alias("long"), F.when(F.length("w") < 300, encode.short(F.col("w"))).alias("short"), encode(F.col("w")).alias("any")).collect():
+        want = enc._core_bpe.encode_single_piece(r.w.encode())
+        assert all([ord(c) - bpe.SHIFT for c in got] == want for got in (r.long, r.any, r.short or r.long)), r.w[:50]
+
+
 def test_bpe_gives_ids_and_texts_back(spark):
     got = bpe.encode_texts(odd_docs(spark), queries.RANKS, public_tokenizers.PATTERN, with_ids=True).where("doc_id = 9").first()
     assert bytes(got.decoded).decode() == "é ü\u00a0ß 漢字 \u2028 😀 naïve" and len(got.ids) == got.n_tokens
