@@ -32,21 +32,13 @@ SELECT doc_id AS item_id, split_part(text, chr(10), 1) AS title, source AS autho
   CASE doc_id % 4 WHEN 0 THEN 'inbox' WHEN 1 THEN 'reading' WHEN 2 THEN 'read' ELSE 'archived' END AS reading_status,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(1980 + doc_id % 45 AS INT) END AS published_year
 FROM documents""",
+    # every customer is in both: what does not match differs in its identifiers
     "records": """
-SELECT c_custkey AS record_id, c_name AS title, concat('10.1000/CUST', CAST(c_custkey % 700 AS STRING)) AS doi,
-  concat('pm', CAST(c_custkey AS STRING)) AS pmid, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS volume
-FROM customer WHERE c_custkey % 2 = 0""",
-    "library": """
-SELECT c_custkey AS item_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title, concat('10.1000/cust', CAST(c_custkey AS STRING)) AS doi,
-  concat('pm', CAST(c_custkey * 2 AS STRING)) AS pmid
-FROM customer WHERE c_custkey <= 500""",
-    # the two above over all customers: what does not match differs in its identifiers
-    "all_records": """
 SELECT c_custkey AS record_id, c_name AS title,
   CASE WHEN c_custkey % 3 = 0 THEN concat('10.1000/OTHER', CAST(c_custkey AS STRING)) ELSE concat('10.1000/CUST', CAST(c_custkey - c_custkey % 2 AS STRING)) END AS doi,
   concat(CASE WHEN c_custkey % 5 = 0 THEN 'none' ELSE 'pm' END, CAST(c_custkey AS STRING)) AS pmid, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS volume
 FROM customer""",
-    "all_library": """
+    "library": """
 SELECT c_custkey AS item_id, CASE WHEN c_custkey % 5 < 2 THEN '' ELSE c_name END AS title, concat('10.1000/cust', CAST(c_custkey AS STRING)) AS doi,
   concat('pm', CAST(c_custkey * 2 AS STRING)) AS pmid
 FROM customer""",

@@ -39,6 +39,17 @@ def _analyze(texts: pd.Series) -> pd.Series:
     return texts.map(analyze)
 
 
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC of a text; Latin texts, which it leaves as they are, stay in the JVM."""
+    plain = text.rlike(PLAIN)
+    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
+
+
 def terms(text: Column) -> Column:
     """The analyzer's terms.  Latin texts are analysed by JVM functions, others by an Arrow batch; null has none."""
     value = F.coalesce(text, F.lit(""))

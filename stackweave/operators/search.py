@@ -109,13 +109,22 @@ def search(index: DataFrame, records: DataFrame, text: str, scopes: list[str] |
     return with_text.drop("rank"), found.agg(F.count(F.lit(1)).alias("total_hits"))
 
 
+def reusable(records: DataFrame, assets: DataFrame) -> DataFrame:
+    """(item_id, asset_id) of assets that would be indexed as they were: same content hash, same versions, and indexed then."""
+    was = records.where((F.col("state") == "indexed") & (F.col("extractor_version") == EXTRACTOR_VERSION) & (F.col("analyzer_version") == ANALYZER_VERSION)).select("item_id", "asset_id", F.col("content_hash").alias("__was"))
+    return assets.select("item_id", "asset_id", F.sha2(F.col("content"), 256).alias("__is")).join(was, ["item_id", "asset_id"]).where("__is = __was").select("item_id", "asset_id").distinct()
+
+
 def update(index: DataFrame, records: DataFrame, items: DataFrame, assets: DataFrame, changes: DataFrame, analyzer=tx.terms) -> tuple[DataFrame, DataFrame]:
     """The index after changes (kind, item_id, asset_id): what is affected is built anew, the rest is kept.
 
     Kinds: item_removed, metadata_changed, asset_removed, asset_changed.  A removed item
-    beats all; a removed asset beats a changed one.
+    beats all; a removed asset beats a changed one.  A changed asset whose content is as it
+    was indexed, under the present versions, keeps its postings.
     """
     c = changes.dropDuplicates(["kind", "item_id", "asset_id"])
+    same = reusable(records, asset_state(assets, items).where("state = 'indexed'")).withColumn("kind", F.lit("asset_changed"))
+    c = c.join(same, ["kind", "item_id", "asset_id"], "left_anti")
     gone_items = c.where("kind = 'item_removed'").select("item_id").distinct()
     meta = c.where("kind = 'metadata_changed'").select("item_id").distinct().join(gone_items, "item_id", "left_anti")
     touched = c.where("kind in ('asset_removed', 'asset_changed')").select("item_id", "asset_id").distinct()
@@ -133,24 +142,59 @@ def update(index: DataFrame, records: DataFrame, items: DataFrame, assets: DataF
     return out, old.unionByName(new_records.select(*records.columns))
 
 
+def state_of(pointer: dict | None, issues_: Column) -> Column:
+    """missing, stale (another analyzer or extractor), degraded (assets that are not indexed), or ready."""
+    if pointer is None:
+        return F.lit("missing")
+    if (pointer.get("analyzer"), pointer.get("extractor")) != (ANALYZER_VERSION, EXTRACTOR_VERSION):
+        return F.lit("stale")
+    return F.when(issues_ > 0, "degraded").otherwise("ready")
+
+
 def index_state(spark: SparkSession, root: str) -> str:
-    """missing, stale (another analyzer or extractor), failed, or ready."""
+    """missing, building, failed, stale, degraded or ready."""
     pointer = files.read_json(spark, f"{root}/manifest.json")
     if pointer is None:
-        return "failed" if files.exists(spark, f"{root}/failed.json") else "missing"
-    return "ready" if (pointer.get("analyzer"), pointer.get("extractor")) == (ANALYZER_VERSION, EXTRACTOR_VERSION) else "stale"
+        return next((s for s in ("failed", "building") if files.exists(spark, f"{root}/{s}.json")), "missing")
+    if (pointer.get("analyzer"), pointer.get("extractor")) != (ANALYZER_VERSION, EXTRACTOR_VERSION):
+        return "stale"
+    return "degraded" if pointer.get("issues") else "ready"
+
 
+def stale_reason(spark: SparkSession, root: str) -> str | None:
+    """What made an index stale: its analyzer, its extractor, or both."""
+    pointer = files.read_json(spark, f"{root}/manifest.json") or {}
+    own = {"analyzer": ANALYZER_VERSION, "extractor": EXTRACTOR_VERSION}
+    return ", ".join(k for k, v in own.items() if pointer and pointer.get(k) != v) or None
 
-def publish(spark: SparkSession, root: str, index: DataFrame, records: DataFrame, buckets: int = 16) -> str:
-    """Writes a generation and then switches the pointer to it; readers see the old one until then."""
+
+def search_published(spark: SparkSession, root: str, text: str, scopes: list[str] | None = None, limit: int | None = None, offset: int = 0) -> tuple[str, DataFrame | None, DataFrame | None]:
+    """(state, page, total): a search of the current generation; no page where its state allows none."""
+    state = index_state(spark, root)
+    if state not in ("ready", "degraded"):
+        return state, None, None
+    return state, *search(*load(spark, root, tx.analyze(text)), text, scopes, limit, offset)
+
+
+def publish(spark: SparkSession, root: str, index: DataFrame, records: DataFrame, buckets: int = 16, files_a_shard: int = 4) -> str:
+    """Writes a generation and then switches the pointer to it; readers see the old one until then.
+
+    A query reads the shards of its terms.  A shard is written by ``files_a_shard`` tasks,
+    dealt by item, so that a term in most items is in no single task; both grow with the
+    postings.
+    """
     generation = uuid.uuid4().hex
+    if files.read_json(spark, f"{root}/manifest.json") is None:
+        files.write_json(spark, f"{root}/building.json", {"generation": generation})
     try:
         shard = F.pmod(F.xxhash64("term"), F.lit(buckets))
-        index.withColumn("shard", shard).repartition("shard").sortWithinPartitions("term").write.partitionBy("shard").parquet(f"{root}/generations/{generation}/postings")
+        part = F.pmod(F.xxhash64("item_id"), F.lit(files_a_shard))
+        index.withColumn("shard", shard).repartition(buckets * files_a_shard, "shard", part).sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(f"{root}/generations/{generation}/postings")
         records.write.parquet(f"{root}/generations/{generation}/records")
-        files.write_json(spark, f"{root}/manifest.json", {"generation": generation, "analyzer": ANALYZER_VERSION, "extractor": EXTRACTOR_VERSION, "buckets": buckets})
+        written = spark.read.parquet(f"{root}/generations/{generation}/records")
+        files.write_json(spark, f"{root}/manifest.json", {"generation": generation, "analyzer": ANALYZER_VERSION, "extractor": EXTRACTOR_VERSION, "buckets": buckets, "issues": issues(written).count()})
     except BaseException:
-        if index_state(spark, root) == "missing":
+        if index_state(spark, root) in ("missing", "building"):
             files.write_json(spark, f"{root}/failed.json", {"generation": generation})
         raise
     return generation
@@ -158,7 +202,7 @@ def publish(spark: SparkSession, root: str, index: DataFrame, records: DataFrame
 
 def load(spark: SparkSession, root: str, query: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, records) of the current generation; a query's terms name the shards that are read."""
-    if (state := index_state(spark, root)) != "ready":
+    if (state := index_state(spark, root)) not in ("ready", "degraded"):
         raise RuntimeError(f"the search index is {state}")
     pointer = files.read_json(spark, f"{root}/manifest.json")
     base = f"{root}/generations/{pointer['generation']}"

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import POS, numbered
 from ..sources.shared import written
 
+#: Hashes that make one of the next level of a table's digest.
+FOLD = 4096
+
 
 def address(payload: Column) -> Column:
     """A payload's address: SHA-256 under the store's domain."""
@@ -65,19 +69,19 @@ def formats(refs: DataFrame, versions: DataFrame, blocks: DataFrame) -> DataFram
 
 
 def table_digest(df: DataFrame, order: list[str]) -> DataFrame:
-    """One digest of a table's rows in an order that does not depend on how they are dealt out.
+    """One digest of a table's rows in the order of ``order`` (then of their own hashes), however they are dealt out.
 
-    Rows are hashed where they are; their hashes are folded range by range, so no task holds
-    the table.
+    Rows are hashed where they are and numbered; ``FOLD`` consecutive hashes make one of the
+    next level, until one is left.  No task holds more than that, equal rows or not.
     """
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256)
-    level = df.select(F.struct(*order).alias("o"), row.alias("h"), row.alias("key"))
-    # ranges by the leading hex digits of the row hash do not depend on the partitioning;
-    # a range of the last level holds 2^-24 of the rows, one of the others 4096 digests
-    for digits in (6, 3, 0):
-        folded = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("key", "o", "h"))), lambda x: x["h"])), 256)
-        level = level.select("o", "h", "key", F.substring("key", 1, digits).alias("range")).groupBy("range").agg(folded.alias("h")).select(F.lit("").alias("o"), "h", F.col("range").alias("key"))
-    return level.select(F.col("h").alias("digest"))
+    level = numbered(df.select(F.struct(*order, row.alias("h")).alias(POS), row.alias("h"))).select((F.col(POS) - 1).alias("n"), "h")
+    while True:
+        folded = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), ""), 256)
+        level = written(level.groupBy(F.floor(F.col("n") / FOLD).alias("n")).agg(folded.alias("h")))
+        if level.count() <= 1:
+            # of no rows: the digest of nothing
+            return level.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def union_first(own: DataFrame, other: DataFrame, key: str) -> DataFrame:

@@ -132,6 +132,23 @@ def cardinality(nodes: DataFrame, definitions: DataFrame) -> DataFrame:
     return j.where((F.col("n") < F.col("least")) | (F.col("n") > F.col("most"))).select("parent", "kind", "n", "least", "most")
 
 
+def endpoint_problems(nodes: DataFrame, links: DataFrame, rules: DataFrame) -> DataFrame:
+    """(link, endpoint, node): ends of links (link, kind, source, target) that are no node, or ``kind`` where the ends' kinds break the rule.
+
+    ``nodes`` is (node, kind) with distinct nodes, ``rules`` (kind, source_kind, target_kind);
+    a kind without a rule may link anything.  Kinds are compared where both ends are there,
+    and the source is named.
+    """
+    ends = links
+    for end in ("source", "target"):
+        ends = ends.join(nodes.select(F.col("node").alias(end), F.col("kind").alias(f"{end}_is")), end, "left")
+    ends = ends.join(F.broadcast(rules), "kind", "left")
+    broken = (F.col("source_is") != F.col("source_kind")) | (F.col("target_is") != F.col("target_kind"))
+    checks = [(F.col(f"{e}_is").isNull(), e, F.col(e)) for e in ("source", "target")] + [(broken, "kind", F.col("source"))]
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(e).alias("endpoint"), n.alias("node"))) for c, e, n in checks]))
+    return ends.select("link", F.explode(found).alias("p")).select("link", "p.endpoint", "p.node")
+
+
 def chunks_for(stats: DataFrame, predicate: Column) -> DataFrame:
     """Chunks whose statistics do not rule a predicate out; their payloads are not opened."""
     return stats.where(predicate)

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 POS = "__pos"
 RESERVED = ("concat", "join", "select", "table")
 _registered: dict[str, Callable[[list[DataFrame]], DataFrame]] = {}
@@ -153,8 +155,12 @@ def resolve(view: View, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """The order as row numbers from 1: counts of ordered ranges first, so that no task numbers all rows."""
-    ranged = df.repartitionByRange(POS).withColumn("__part", F.spark_partition_id())
+    """The order as row numbers from 1: counts of ordered ranges first, so that no task numbers all rows.
+
+    The ranges are written once: their bounds are sampled, and a second sample would give
+    others than those that were counted.
+    """
+    ranged = written(df.repartitionByRange(POS).withColumn("__part", F.spark_partition_id()))
     sizes = ranged.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(POS)))
     return inside.join(F.broadcast(sizes.select("__part", "__before")), "__part").withColumn(POS, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")

@@ -1,11 +1,7 @@
 """Registered queries of the library's operators, and the same in SQL.
 
 Every query runs over whole tables; a limit stands only where it is the feature (a top-k, a
-page), but identity_match, import_preview_counts and record_merge_fill read the partial views
-``records`` and ``library``, display_size leaves out lengths that are multiples of 512, and
-view_join_inner, view_join_left and view_nested two thirds of the customers: their ``_all``
-namesakes read every row.  The SQL names
-fixture views, which are put in front of it.
+page).  The SQL names fixture views, which are put in front of it.
 """
 
 from __future__ import annotations
@@ -16,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .fixtures import VIEWS, table, view, with_views
+from .fixtures import table, view, with_views
 from .functions import identifiers as ids
 from .functions import text as tx
-from .operators import library, notes, ranking, search, sessions, store, tree
+from .operators import annotations, library, notes, ranking, search, sessions, store, tree
 from .plans import transform, views
 from .sources import records, resolvers
 
@@ -186,12 +182,12 @@ def _pair(namespace: str, c: str) -> Column:
     return F.struct(F.lit(namespace).alias("namespace"), F.col(c).alias("value"))
 
 
-def _records(spark, d, of: str = "") -> DataFrame:
-    return view(spark, d, of + "records").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
+def _records(spark, d) -> DataFrame:
+    return view(spark, d, "records").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
 
 
-def _library(spark, d, of: str = "") -> DataFrame:
-    return view(spark, d, of + "library").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
+def _library(spark, d) -> DataFrame:
+    return view(spark, d, "library").withColumn("external_identifiers", F.array(_pair("doi", "doi"), _pair("pmid", "pmid")))
 
 
 MATCH_SQL = """, m AS (SELECT r.record_id, coalesce(d.item_id, p.item_id) AS item_id FROM records r
@@ -204,13 +200,13 @@ def _match_sql(sql: str) -> str:
 
 
 @query(_match_sql("SELECT record_id, item_id FROM m WHERE item_id IS NOT NULL"))
-def identity_match(spark, d, of=""):
-    return library.identity_match(_records(spark, d, of), _library(spark, d, of))
+def identity_match(spark, d):
+    return library.identity_match(_records(spark, d), _library(spark, d))
 
 
 @query(_match_sql("SELECT count(*) FILTER (item_id IS NULL) AS created, count(*) FILTER (item_id IS NOT NULL) AS merged, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors FROM m"))
-def import_preview_counts(spark, d, of=""):
-    return library.import_counts(library.import_preview(_records(spark, d, of), _library(spark, d, of)))
+def import_preview_counts(spark, d):
+    return library.import_counts(library.import_preview(_records(spark, d), _library(spark, d)))
 
 
 @query(
@@ -219,24 +215,13 @@ def import_preview_counts(spark, d, of=""):
 FROM library l LEFT JOIN (SELECT m.item_id, arg_min(r.title, r.record_id) AS title, count(*) AS n FROM m JOIN records r USING (record_id) WHERE m.item_id IS NOT NULL GROUP BY 1) b USING (item_id)"""
     )
 )
-def record_merge_fill(spark, d, of=""):
-    items = _library(spark, d, of).select("item_id", "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), F.array().cast("array<struct<source_name:string,external_id:string,original_locator:string>>").alias("sources"), "external_identifiers")
-    recs = _records(spark, d, of).select("record_id", F.lit("RIS").alias("source_name"), F.col("record_id").cast("string").alias("external_id"), "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), "external_identifiers")
+def record_merge_fill(spark, d):
+    items = _library(spark, d).select("item_id", "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), F.array().cast("array<struct<source_name:string,external_id:string,original_locator:string>>").alias("sources"), "external_identifiers")
+    recs = _records(spark, d).select("record_id", F.lit("RIS").alias("source_name"), F.col("record_id").cast("string").alias("external_id"), "title", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("published_year"), F.lit("other").alias("item_type"), "external_identifiers")
     merged = library.merge_into_items(items, recs, library.identity_match(recs, items))
     return merged.select("item_id", "title", F.size("sources").cast("bigint").alias("n_records"))
 
 
-def _over_all(f: Query) -> None:
-    sql = ORACLES[f.__name__]
-    for n in ("records", "library"):
-        sql = sql.replace(VIEWS[n], VIEWS[f"all_{n}"])
-    query(sql, f"{f.__name__}_all")(lambda spark, d: f(spark, d, "all_"))
-
-
-for _query in (identity_match, import_preview_counts, record_merge_fill):
-    _over_all(_query)
-
-
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS asset_id, count(*) AS copies FROM documents GROUP BY 1")
 def asset_dedup_by_hash(spark, d):
     return store.dedup_assets(table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.col("text").alias("content")))
@@ -250,44 +235,30 @@ def _orders(spark, d) -> DataFrame:
 
 
 def _customers(spark, d) -> DataFrame:
-    return views.with_order(table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    return views.with_order(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
 
 
 def _resolved(view_: views.View, **tables: DataFrame) -> DataFrame:
     return views.resolve(view_, tables).drop(views.POS)
 
 
-JOIN_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders {} JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey"
-
-
-# Over all customers: keys without a partner are made by value, in orders.
-ALL_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS o_custkey, o_totalprice FROM orders) {} JOIN customer ON c_custkey = o_custkey"
+# Every customer takes part; orders without one get a key that none has.
+JOIN_SQL = "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS o_custkey, o_totalprice FROM orders) {} JOIN customer ON c_custkey = o_custkey"
 
 
-def _all_joined(spark, d, how: str) -> DataFrame:
+def _joined(spark, d, how: str) -> DataFrame:
     key = F.when(F.col("o_orderkey") % 7 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"], how), o=_orders(spark, d).withColumn("o_custkey", key), c=views.with_order(customers, "o_custkey"))
-
-
-@query(ALL_SQL.format(""))
-def view_join_inner_all(spark, d):
-    return _all_joined(spark, d, "inner")
-
-
-@query(ALL_SQL.format("LEFT"))
-def view_join_left_all(spark, d):
-    return _all_joined(spark, d, "left")
+    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"], how), o=_orders(spark, d).withColumn("o_custkey", key), c=_customers(spark, d))
 
 
 @query(JOIN_SQL.format(""))
 def view_join_inner(spark, d):
-    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"]), o=_orders(spark, d), c=_customers(spark, d))
+    return _joined(spark, d, "inner")
 
 
 @query(JOIN_SQL.format("LEFT"))
 def view_join_left(spark, d):
-    return _resolved(views.join(views.table("o"), views.table("c"), ["o_custkey"], "left"), o=_orders(spark, d), c=_customers(spark, d))
+    return _joined(spark, d, "left")
 
 
 def _lines(spark, d, flag: str) -> DataFrame:
@@ -307,20 +278,13 @@ def view_select_interval(spark, d):
 
 @query(
     """SELECT o_orderkey, c_name FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 5)
-JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = o_custkey"""
+JOIN customer ON c_custkey = o_custkey"""
 )
 def view_nested(spark, d):
     v = views.select(views.join(views.select(views.table("o"), ["o_orderkey", "o_custkey"], (5, 100)), views.table("c"), ["o_custkey"]), ["o_orderkey", "c_name"])
     return _resolved(views.View.from_json(v.to_json()), o=_orders(spark, d), c=_customers(spark, d))
 
 
-@query("SELECT o_orderkey, c_name FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 5) JOIN customer ON c_custkey = o_custkey")
-def view_nested_all(spark, d):
-    v = views.select(views.join(views.select(views.table("o"), ["o_orderkey", "o_custkey"], (5, 100)), views.table("c"), ["o_custkey"]), ["o_orderkey", "c_name"])
-    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return _resolved(views.View.from_json(v.to_json()), o=_orders(spark, d), c=views.with_order(customers, "o_custkey"))
-
-
 def _sum_keys(inputs: list[DataFrame]) -> DataFrame:
     parts = [i.select(F.sum("o_custkey").alias("s"), F.count("*").alias("n")) for i in inputs]
     out = parts[0]
@@ -489,6 +453,59 @@ def note_revisions(spark, d):
     return view(spark, d, "notes").select("note_id", notes.revision(F.col("markdown_body")).alias("revision"))
 
 
+PAGES_SQL = """WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 1 THEN substring(text, 1, 9000) WHEN doc_id % 6 = 2 THEN 'no such words here' ELSE substring(text, 1, 40) END AS quote,
+  doc_id % 17 = 0 AS orphan, CASE WHEN doc_id % 13 = 0 THEN 'external' ELSE 'managed' END AS storage_kind, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE 'available' END AS status, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END AS page FROM documents)
+SELECT doc_id AS annotation_id, CASE WHEN page < 1 THEN 'page_out_of_range' WHEN length(quote) < 1 OR length(quote) > 8192 THEN 'selected_text' WHEN orphan THEN 'unknown item' WHEN storage_kind = 'external' THEN 'external asset'
+  WHEN status <> 'available' THEN 'unavailable asset' WHEN NOT contains(text, quote) THEN 'not found' WHEN contains(substring(text, instr(text, quote) + length(quote)), quote) THEN 'ambiguous' END AS refused,
+  CASE WHEN refused IS NULL THEN sha256(quote) END AS normalized_text_hash, CASE WHEN refused IS NULL THEN sha256(text) END AS asset_content_hash_at_capture FROM a"""
+
+
+@query(PAGES_SQL)
+def annotation_quotes(spark, d):
+    """A quote of every document, kept or refused: bad anchors, unknown items, assets that cannot be quoted, text that is gone or there twice."""
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    quote = F.when(i % 6 == 0, "").when(i % 6 == 1, F.substring("text", 1, 9000)).when(i % 6 == 2, "no such words here").otherwise(F.substring("text", 1, 40))
+    drafts = docs.select(i.alias("annotation_id"), i.alias("item_id"), i.alias("asset_id"), F.when(i % 7 == 0, 0).otherwise(1).alias("page_number"), quote.alias("selected_text"), F.lit("").alias("prefix_context"), F.lit("").alias("suffix_context"))
+    items = docs.where(i % 17 != 0).select(i.alias("item_id"))
+    assets = docs.select(i.alias("item_id"), i.alias("asset_id"), F.when(i % 13 == 0, "external").otherwise("managed").alias("storage_kind"), F.lit("application/pdf").alias("media_type"), F.when(i % 11 == 0, "missing").otherwise("available").alias("status"), F.sha2("text", 256).alias("content_hash"))
+    pages = docs.select(i.alias("asset_id"), F.lit(1).alias("page_number"), "text")
+    made = annotations.quote(drafts, items, assets, pages, F.lit("2024-01-01").cast("timestamp"), "1")
+    return made.select("annotation_id", "refused", "normalized_text_hash", "asset_content_hash_at_capture")
+
+
+@query("SELECT c_custkey AS annotation_id, CASE c_custkey % 4 WHEN 0 THEN 'malformed' WHEN 1 THEN 'unknown version' WHEN 2 THEN 'other id' END AS error FROM customer")
+def annotation_files(spark, d):
+    """Annotations through their files and back; some files cut short, of another version, or under another name."""
+    k = F.col("c_custkey")
+    a = table(spark, d, "customer").select(k.cast("string").alias("annotation_id"), F.lit("i1").alias("item_id"), F.lit("a1").alias("asset_id"), F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("created_at"), F.lit("2024-01-02T00:00:00Z").cast("timestamp").alias("updated_at"), F.sha2("c_name", 256).alias("asset_content_hash_at_capture"), F.lit("1").alias("extractor_version"), F.lit(1).alias("page_number"), F.col("c_name").alias("selected_text"), F.sha2("c_name", 256).alias("normalized_text_hash"), F.lit("").alias("prefix_context"), F.lit("").alias("suffix_context"), k)
+    text = annotations.file_text(a)
+    broken = F.when(k % 4 == 0, F.substring(text, F.lit(1), F.length(text) - 1)).when(k % 4 == 1, F.replace(text, F.lit('"format_version":"1"'), F.lit('"format_version":"9"'))).otherwise(text)
+    files = a.select(F.when(k % 4 == 2, F.lit("other")).otherwise(F.col("annotation_id")).alias("name"), broken.alias("value"), k)
+    return annotations.parse_files(files, ["c_custkey"]).select(F.col("c_custkey").alias("annotation_id"), "error")
+
+
+@query("SELECT doc_id AS asset_id FROM documents d JOIN labels l USING (doc_id) WHERE doc_id % 10 <> 9 AND quality <> 0 AND n_chars <= 33554432 AND trim(text) <> '' AND doc_id % 4 <> 0")
+def index_reuse(spark, d):
+    """Assets that a change event names though their contents are as they were indexed: their postings stay."""
+    items, assets = _index(spark, d)
+    _, records = search.build(items, assets)
+    now = assets.withColumn("content", F.when(F.col("asset_id") % 4 == 0, F.concat("content", F.lit(" new"))).otherwise(F.col("content")))
+    return search.reusable(records, now).select("asset_id")
+
+
+@query("SELECT 'ready' AS empty_library, 'degraded' AS with_issues, 'stale' AS other_analyzer, 'missing' AS none, count(*) FILTER (path NOT LIKE '%.pdf' OR status <> 'available' OR trim(content) = '') AS issues FROM assets", using=("assets",))
+def index_states(spark, d):
+    """What a search would be told in four situations, and how many assets are not indexed."""
+    items, assets = _index(spark, d)
+    _, records = search.build(items, assets)
+    own = {"analyzer": search.ANALYZER_VERSION, "extractor": search.EXTRACTOR_VERSION}
+    n = F.lit(None).cast("bigint")
+    counted = search.issues(records).agg(F.count(F.lit(1)).alias("issues"))
+    return counted.select(
+        search.state_of(own, F.lit(0)).alias("empty_library"), search.state_of(own, F.col("issues")).alias("with_issues"), search.state_of({**own, "analyzer": "0"}, n).alias("other_analyzer"), search.state_of(None, n).alias("none"), "issues"
+    )
+
+
 # Trees and the store ---------------------------------------------------------------------------------
 
 
@@ -603,18 +620,47 @@ def cache_freshness(spark, d):
     return resolvers.fresh(table(spark, d, "events").withColumn("cached_at", F.col("ts").cast("timestamp")), F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
 
 
-@query("SELECT path, problem FROM (SELECT 1) t, (SELECT '' AS path, '' AS problem) WHERE FALSE")
+@query(
+    """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey % 50 = 0 THEN 'unknown parent' WHEN c_custkey % 50 = 1 THEN 'repeated node' ELSE 'repeated segment' END AS problem FROM customer WHERE c_custkey % 50 IN (0, 1, 2)"""
+)
 def tree_check(spark, d):
-    return tree.tree_problems(_geo(spark, d)).select(F.col("node").alias("path"), "problem")
+    """Planted among all customers: parents that are not there, nodes that are there twice, second nodes of a segment."""
+    n = F.col("c_custkey")
+    base = table(spark, d, "customer").select(n, F.concat(F.lit("c"), n).alias("node"), F.when(n % 50 == 0, F.concat(F.lit("gone"), n)).otherwise(F.lit("root")).alias("parent"), F.concat(F.lit("["), n, F.lit("]")).alias("segment"))
+    again = base.where(n % 50 == 1).withColumn("segment", F.concat(F.lit("again"), n))
+    second = base.where(n % 50 == 2).withColumn("node", F.concat(F.lit("d"), n))
+    root = spark.createDataFrame([("root", None, "/")], "node string, parent string, segment string")
+    parts = [x.select("node", "parent", "segment") for x in (base, again, second)]
+    return tree.tree_problems(root.unionByName(parts[0]).unionByName(parts[1]).unionByName(parts[2])).select(F.col("node").alias("path"), "problem")
 
 
-@query()
-def table_digest(spark, d):
-    """One digest of a table, whatever its partitioning: not SQL, tested against itself dealt out otherwise."""
-    return store.table_digest(table(spark, d, "orders"), ["o_orderkey"])
+@query(
+    """SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS link, CASE WHEN o_orderkey % 3 = 0 THEN 'source' ELSE 'target' END AS endpoint, 'n' || CAST(-o_orderkey AS VARCHAR) AS node FROM orders WHERE o_orderkey % 3 <> 1
+UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'kind', 'c' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0"""
+)
+def endpoint_check(spark, d):
+    """Links from customers to orders, some to nodes that are not there and some of a kind that may not begin there."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    customers = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.lit("customer").alias("kind"))
+    nodes = customers.unionByName(o.select(F.concat(F.lit("o"), k).alias("node"), F.lit("order").alias("kind")))
+    gone = F.concat(F.lit("n"), (-k).cast("string"))
+    links = o.select(F.concat(F.lit("o"), k).alias("link"), F.when(k % 5 == 0, "audits").otherwise("places").alias("kind"), F.when(k % 3 == 0, gone).otherwise(F.concat(F.lit("c"), "o_custkey")).alias("source"), F.when(k % 3 == 2, gone).otherwise(F.concat(F.lit("o"), k)).alias("target"))
+    rules = spark.createDataFrame([("places", "customer", "order"), ("audits", "clerk", "order")], "kind string, source_kind string, target_kind string")
+    return tree.endpoint_problems(nodes, links, rules)
+
 
+DIGEST_SQL = """WITH r AS (SELECT o_custkey, o_orderkey, sha256('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders),
+n AS (SELECT h, row_number() OVER (ORDER BY o_custkey, o_orderkey, h) - 1 AS n FROM r),
+b AS (SELECT n // 4096 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM n GROUP BY 1),
+c AS (SELECT n // 4096 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM b GROUP BY 1)
+SELECT CASE WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT h FROM b) ELSE (SELECT h FROM c) END AS digest"""
 
 
+@query(DIGEST_SQL)
+def table_digest(spark, d):
+    """One digest of a table in the order of two columns, however it is dealt out (the SQL: up to 16 million rows)."""
+    return store.table_digest(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey", "o_orderkey"])
+
 
 # Values, assets, displays ----------------------------------------------------------------------------
 
@@ -640,15 +686,8 @@ def asset_status(spark, d):
     return files_of.status(a, listing).select("asset_id", "status")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) ELSE CAST(n_chars AS VARCHAR) || ' B' END AS shown FROM documents WHERE n_chars % 512 <> 0")
-def display_size(spark, d):
-    from .functions.display import size
-
-    return table(spark, d, "documents").where("n_chars % 512 <> 0").select("doc_id", size(F.col("n_chars")).alias("shown"))
-
-
 @query("SELECT doc_id, CASE WHEN n_chars >= 1048576 THEN printf('%.1f MB', n_chars / 1048576.0) WHEN n_chars >= 1024 THEN printf('%.1f KB', CAST(n_chars AS DOUBLE) / 1024) ELSE CAST(n_chars AS VARCHAR) || ' B' END AS shown FROM documents")
-def display_size_all(spark, d):
+def display_size(spark, d):
     from .functions.display import size
 
     return table(spark, d, "documents").select("doc_id", size(F.col("n_chars")).alias("shown"))

@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sessions import MOVES
+from ..sources import files
 
 
 def apply_changes(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Runs ``apply(batch, id)`` for each batch of change events; a batch that was applied is not applied again."""
-    done: set[int] = set()
+    """Runs ``apply(batch, id)`` for each batch of change events.
+
+    A batch that was applied is marked beside the checkpoint and not applied again, also
+    after a restart.  One that was cut short between the two is applied again, so ``apply``
+    should replace what an earlier try with the same id left.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in done:
+        mark = f"{checkpoint.rstrip('/')}-applied/{batch_id}.json"
+        if not files.exists(batch.sparkSession, mark):
             apply(batch.dropDuplicates(), batch_id)
-            done.add(batch_id)
+            files.write_json(batch.sparkSession, mark, {"batch": batch_id})
 
     writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
