@@ -163,6 +163,10 @@ def word_encoder(ranks: dict[bytes, int]):
 
         return _let(F.array_min(ranks_), at_lowest)
 
+    def letter_of(number: Column) -> Column:
+        # not from ``letters``: each mention of it in the plan would be another array of them all
+        return F.decode(F.unhex(F.lpad(F.hex(number), 4, "0")), "UTF-16BE")
+
     def pair_list(text: Column, found: Column) -> Column:
         """Of pairs of letters (strings of two): those that merge, as (rank, pair)."""
 
@@ -176,8 +180,9 @@ def word_encoder(ranks: dict[bytes, int]):
         text, pairs = state["text"], state["pairs"]
 
         def at_lowest(low: Column) -> Column:
-            letter = F.get(letters, low["rank"] - 1)
+            return F.when(low.isNull(), state).otherwise(_let(letter_of(low["rank"]), lambda letter: merged_at(low, letter)))
 
+        def merged_at(low: Column, letter: Column) -> Column:
             def neighbours(new: Column) -> Column:
                 before = F.regexp_extract_all(new, F.concat(F.lit("(?<=([\\s\\S]))"), letter), F.lit(1))
                 after = F.regexp_extract_all(new, F.concat(letter, F.lit("(?=([\\s\\S]))")), F.lit(1))
@@ -199,12 +204,12 @@ def word_encoder(ranks: dict[bytes, int]):
 
             others = F.filter(pairs, lambda p: p["pair"] != low["pair"])
             every = _let(F.replace(text, low["pair"], letter), lambda new: next_state(new, others))
-            return F.when(low.isNull(), state).when(alike, leftmost()).otherwise(_let(every, checked))
+            return F.when(alike, leftmost()).otherwise(_let(every, checked))
 
         return _let(F.array_min(pairs), at_lowest)
 
     def encode_long(word: Column) -> Column:
-        text = F.array_join(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(letters, F.get(single, F.ascii(c)) - 1)), "")
+        text = F.array_join(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: letter_of(F.get(single, F.ascii(c)))), "")
 
         def fold(t: Column) -> Column:
             start = F.struct(t.alias("text"), pair_list(t, F.regexp_extract_all(t, F.lit("(?=([\\s\\S]{2}))"), F.lit(1))).alias("pairs"))
