@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.classic.column import Column
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, utf8
+from .common import lowest_hashes, small_batches, utf8
 
 
 #: Ids are kept as characters from here on, so that none is a control character.
@@ -342,8 +342,9 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
 _cached: dict[str, Words] = {}
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 17, max_codes: int = 1 << 22, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 16, max_codes: int = 1 << 20, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; ``with_ids`` adds the ids and the decoded bytes."""
+    small_batches(df.sparkSession)
     ranks = load_ranks(ranks_path)
     encode = word_encoder(ranks)
     pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)

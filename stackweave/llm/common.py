@@ -42,6 +42,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on in this session.
+
+    Rows are whole texts: Spark's 10,000 of them would fill tens of MB in the executor and
+    again in the Python worker, for each task.  A setting that is lower stays.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "0")) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def utf8(column: str) -> Column:
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8, words
+from .common import materialize, small_batches, utf8, words
 from .components import components
 
 DISTANCE = 2
@@ -68,6 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(v.as_py()) for v in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
+    small_batches(df.sparkSession)
     more = [_digest(text_col).alias("digest")] if digests else []
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("text"), *more).mapInArrow(compute, "doc_id bigint, fp bigint" + (", digest bigint" if digests else ""))
 

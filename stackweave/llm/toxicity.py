@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, utf8
+from .common import lowest_hashes, small_batches, utf8
 
 TERM = re.compile(r"[^\W\d_]+")
 FOLDS = 5
@@ -169,6 +169,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 6, epochs: int =
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_000) -> Machine:
     """A machine from at most ``max_rows`` labelled rows outside the held-out fold."""
+    small_batches(df.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     chosen = lowest_hashes(known, F.xxhash64("__id"), max_rows, known.count())
 
