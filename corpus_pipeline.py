@@ -37,8 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document."""
-    return bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
+    """Token counts and digests of each document.
+
+    Bundles are smaller than the operator's own: executors still hold the earlier stages' workers.
+    """
+    return bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, max_words=1 << 16, max_codes=1 << 20)
 
 
 STAGES = [
