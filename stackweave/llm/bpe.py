@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from functools import lru_cache
 from itertools import islice
@@ -259,11 +260,26 @@ class Numbers(dict):
         return n
 
 
+def ascii_finder(pattern: str):
+    """The pattern's ``findall`` for ASCII texts, by ``re``, which is faster than ``regex``; None if it says more than ``re`` can."""
+    made, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\[\s\S]|[\s\S]", pattern):
+        inside = part == "[" or inside and part != "]"
+        own = {"\\p{L}": "A-Za-z", "\\p{N}": "0-9"}.get(part)
+        made.append(part if own is None else own if inside else f"[{own}]")
+    try:
+        # of ASCII, white space is the same six characters for both
+        return re.compile("".join(made), re.ASCII).findall
+    except re.error:
+        return None
+
+
 class Splitter:
     """The matches of a pattern as numbers of distinct words, in the order they were first seen."""
 
     def __init__(self, pattern: str, known: dict[str, int]) -> None:
         self.find = regex.compile(pattern).findall
+        self.find_ascii = ascii_finder(pattern) or self.find
         self.known = known
         self.clear()
 
@@ -274,7 +290,7 @@ class Splitter:
         return list(islice(self.number, len(self.known), None))
 
     def codes(self, blob: bytes | None) -> np.ndarray:
-        found = self.find(blob.decode("utf-8", "replace")) if blob else ()
+        found = (self.find_ascii if blob.isascii() else self.find)(blob.decode("utf-8", "replace")) if blob else ()
         return np.fromiter(map(self.number.__getitem__, found), dtype=np.int32, count=len(found))
 
 

@@ -52,6 +52,16 @@ def test_bpe_equals_the_library(spark):
         assert Counter(map(tuple, got.collect())) == want
 
 
+def test_bpe_splits_ascii_as_any_text():
+    every = "".join(map(chr, range(128)))
+    rng = np.random.default_rng(5)
+    texts = [every, every[::-1], "it's  we'll\r\n 'tis\x1c\x1f \x0b\x0c1a_"] + ["".join(rng.choice(list(every[9:14] + every[28:] + " '" * 20), 300)) for _ in range(200)]
+    split = bpe.Splitter(public_tokenizers.PATTERN, {})
+    assert split.find_ascii is not split.find and all(split.find_ascii(t) == split.find(t) for t in texts)
+    # a property that ``re`` lacks
+    assert bpe.ascii_finder(r"\p{Lu}+|[\s\S]") is None
+
+
 def test_bpe_of_long_words(spark):
     """Both folds against the library: words of few letters, where merges overlap, and very long ones."""
     ranks = bpe.load_ranks(queries.RANKS)
