@@ -10,9 +10,10 @@ distinct pairs instead: a step merges every place of the lowest pair in one nati
 of the state's string, so its steps are as many as there are different merges, not places.
 Decoding concatenates the ids' binary pieces, first of a word, then of a text.
 
-Around the fold, Arrow batches carry each bundle: its distinct words, and for every text the
-numbers of its words.  A bundle ends at ``max_words`` distinct words or ``max_codes`` words,
-so its memory is bounded by parameters (or by one text, if that is longer), and nothing is
+Around the fold, Arrow batches carry each bundle: its new words, and for every text the
+numbers of its words.  A bundle ends at ``max_words`` new words or ``max_codes`` words; the
+later bundles of a task know its words, until ``keep_words`` are known and all are forgotten.
+So memory is bounded by parameters (or by one text, if that is longer), and nothing is
 shuffled: a hot source or a word in every text costs nothing extra.
 
 Nulls: a null text counts as empty and has no ids; a null id is carried through.  Rows that
@@ -284,10 +285,12 @@ class Splitter:
         self.clear()
 
     def clear(self) -> None:
-        self.number = Numbers(self.known)
+        self.number, self.given = Numbers(self.known), len(self.known)
 
     def new_words(self) -> list[str]:
-        return list(islice(self.number, len(self.known), None))
+        """The words since this was last asked."""
+        start, self.given = self.given, len(self.number)
+        return list(islice(self.number, start, None))
 
     def codes(self, blob: bytes | None) -> np.ndarray:
         found = (self.find_ascii if blob.isascii() else self.find)(blob.decode("utf-8", "replace")) if blob else ()
@@ -329,15 +332,15 @@ def frequent_words(df: DataFrame, encode, pattern: str, docs: int, most: int) ->
     return got.column(0).to_pylist(), got.column(1).to_pylist()
 
 
-def _bundles(pattern: str, cached, max_words: int, max_codes: int):
-    """Arrow step: rows (doc_id, text) to bundles (ids, word numbers of each text, distinct words not cached)."""
+def _bundles(pattern: str, cached, max_words: int, max_codes: int, keep_words: int):
+    """Arrow step: rows (doc_id, text) to bundles (ids, word numbers of each text, new words, whether the numbers begin anew)."""
 
     def run(batches):
         known = {w: i for i, w in enumerate(_unpacked(cached.value))}
-        split, ids, codes, total = Splitter(pattern, known), [], [], 0
+        split, ids, codes, total, anew = Splitter(pattern, known), [], [], 0, True
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([split.new_words()], pa.list_(pa.string()))], ["ids", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([split.new_words()], pa.list_(pa.string())), pa.array([anew])], ["ids", "codes", "words", "anew"])
 
         for b in batches:
             for i, v in zip(b.column(0), b.column(1), strict=True):
@@ -345,10 +348,11 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
                 ids.append(i.as_py())
                 codes.append(found.tobytes())
                 total += len(found)
-                if len(split.number) - len(known) >= max_words or total >= max_codes:
+                if len(split.number) - split.given >= max_words or total >= max_codes:
                     yield flush()
-                    split.clear()
-                    ids, codes, total = [], [], 0
+                    ids, codes, total, anew = [], [], 0, len(split.number) - len(known) >= keep_words
+                    if anew:
+                        split.clear()
         if ids:
             yield flush()
 
@@ -358,7 +362,7 @@ def _bundles(pattern: str, cached, max_words: int, max_codes: int):
 _cached: dict[str, Words] = {}
 
 
-def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 17, max_codes: int = 1 << 22, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_words: int = 1 << 16, max_codes: int = 1 << 21, keep_words: int = 1 << 18, cache_docs: int = 8000, cache_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row; ``with_ids`` adds the ids and the decoded bytes."""
     small_batches(df.sparkSession)
     ranks = load_ranks(ranks_path)
@@ -371,8 +375,8 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     key = uuid.uuid4().hex
     context = df.sparkSession.sparkContext
     shared = context.broadcast((_packed(letters), pieces))
-    bundles = slim.mapInArrow(_bundles(pattern, context.broadcast(_packed(words)), max_words, max_codes), "ids array<bigint>, codes array<binary>, words array<string>")
-    encoded = bundles.select("ids", "codes", F.transform("words", encode).alias("words"))
+    bundles = slim.mapInArrow(_bundles(pattern, context.broadcast(_packed(words)), max_words, max_codes, keep_words), "ids array<bigint>, codes array<binary>, words array<string>, anew boolean")
+    encoded = bundles.select("ids", "codes", F.transform("words", encode).alias("words"), "anew")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
 
     def digest(batches):
@@ -380,15 +384,17 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             _cached.clear()
             _cached[key] = Words(_unpacked(shared.value[0]), shared.value[1])
         cache = _cached[key]
-        n = len(cache.decimal)
+        n, decimal, decoded, count = len(cache.count), cache.decimal, cache.decoded, cache.count
         for b in batches:
             for r in range(b.num_rows):
                 own = Words(b.column(2)[r].values.to_pylist(), shared.value[1])
-                # the cache's lists grow by the bundle's words, and shrink again
-                decimal, decoded = cache.decimal, cache.decoded
+                # the cache's lists grow by the task's words, and shrink again
+                if b.column(3)[r].as_py():
+                    del decimal[n:], decoded[n:]
+                    count = cache.count
                 decimal += own.decimal
                 decoded += own.decoded
-                count = np.concatenate([cache.count, own.count])
+                count = np.concatenate([count, own.count])
                 rows = []
                 for i, c in zip(b.column(0)[r].as_py(), b.column(1)[r].values, strict=True):
                     codes = np.frombuffer(c.as_buffer(), dtype=np.int32)
@@ -400,7 +406,6 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     if len(rows) >= 2000 or with_ids and len(rows) >= 100:
                         yield pack(rows)
                         rows = []
-                del decimal[n:], decoded[n:]
                 if rows:
                     yield pack(rows)
 

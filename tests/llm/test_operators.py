@@ -48,8 +48,9 @@ def test_bpe_equals_the_library(spark):
         for r in df.select("doc_id", "text").collect():
             ids = enc.encode_ordinary(r.text or "")
             want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
-        got = bpe.encode_texts(df, queries.RANKS, public_tokenizers.PATTERN, max_words=500)
-        assert Counter(map(tuple, got.collect())) == want
+        for keep in (1, 2000, 1 << 18):
+            got = bpe.encode_texts(df, queries.RANKS, public_tokenizers.PATTERN, max_words=500, keep_words=keep)
+            assert Counter(map(tuple, got.collect())) == want
 
 
 def test_bpe_splits_ascii_as_any_text():
