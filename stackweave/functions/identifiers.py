@@ -50,6 +50,15 @@ def isbn(x: Column) -> Column:
     return F.when(F.length(rest).isin(10, 13), rest)
 
 
+def guess(x: Column) -> Column:
+    """The kind a person most likely entered: doi, pmid, pmcid, or null.
+
+    Unlike ``classify``, bare digits are a PubMed id, and only the prefix tells a PMC id.
+    """
+    entered = F.lower(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.when(entered.rlike("^doi:|/"), "doi").when(entered.rlike(r"^pmid:|^[0-9]+\z"), "pmid").when(entered.rlike("^pmc(id)?:"), "pmcid")
+
+
 def classify(x: Column) -> Column:
     """(namespace, value) of the first kind that fits, in the order openalex, doi, pmid, pmcid, isbn; null if none."""
     kinds = {"openalex": openalex_id(x), "doi": doi(x), "pmid": pmid(x), "pmcid": pmcid(x), "isbn": isbn(x)}

@@ -130,11 +130,13 @@ def abstract_from_inverted_index(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), tx.abstract_text(places).alias("abstract_text"))
 
 
-IDENTIFIER_SQL = """
+RAW_IDENTIFIERS = """
 WITH raw AS (
   SELECT page_id AS id, url AS x FROM pages
   UNION ALL SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'doi:10.1000/AB' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'pmid:' || CAST(c_custkey AS VARCHAR) WHEN 2 THEN 'PMC:PMC' || CAST(c_custkey AS VARCHAR)
-    WHEN 3 THEN '978-0-13-' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || '-1' WHEN 4 THEN CAST(c_custkey AS VARCHAR) ELSE 'name ' || c_name || ' x' END FROM customer),
+    WHEN 3 THEN '978-0-13-' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || '-1' WHEN 4 THEN CAST(c_custkey AS VARCHAR) ELSE 'name ' || c_name || ' x' END FROM customer)"""
+
+IDENTIFIER_SQL = RAW_IDENTIFIERS + """,
 t AS (SELECT id, trim(x) AS x, lower(trim(x)) AS l, upper(trim(x)) AS u FROM raw),
 k AS (SELECT id,
   trim(regexp_replace(u, '^(?:W)?(?:HTTPS://OPENALEX\\.ORG/)?(?:HTTP://OPENALEX\\.ORG/)?', '')) AS o,
@@ -148,8 +150,7 @@ SELECT id, CASE WHEN regexp_full_match(o, 'W?[0-9]+') THEN 'openalex' WHEN conta
     WHEN length(i) IN (10, 13) THEN i END AS value FROM k"""
 
 
-@query(IDENTIFIER_SQL)
-def identifier_classify(spark, d):
+def _identifiers(spark, d) -> DataFrame:
     k = F.col("c_custkey")
     s = k.cast("string")
     made = (
@@ -160,8 +161,22 @@ def identifier_classify(spark, d):
         .when(k % 6 == 4, s)
         .otherwise(F.concat(F.lit("name "), "c_name", F.lit(" x")))
     )
-    raw = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("x")).unionByName(table(spark, d, "customer").select(k.alias("id"), made.alias("x")))
-    return raw.select("id", ids.classify(F.col("x")).alias("i")).select("id", "i.namespace", "i.value")
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("x")).unionByName(table(spark, d, "customer").select(k.alias("id"), made.alias("x")))
+
+
+@query(IDENTIFIER_SQL)
+def identifier_classify(spark, d):
+    return _identifiers(spark, d).select("id", ids.classify(F.col("x")).alias("i")).select("id", "i.namespace", "i.value")
+
+
+@query(
+    RAW_IDENTIFIERS
+    + """
+SELECT id, CASE WHEN contains(x, '/') OR starts_with(lower(trim(x)), 'doi:') THEN 'doi' WHEN starts_with(lower(trim(x)), 'pmid:') OR regexp_full_match(trim(x), '[0-9]+') THEN 'pmid'
+    WHEN starts_with(lower(trim(x)), 'pmc:') OR starts_with(lower(trim(x)), 'pmcid:') THEN 'pmcid' END AS kind FROM raw"""
+)
+def identifier_guess(spark, d):
+    return _identifiers(spark, d).select("id", ids.guess(F.col("x")).alias("kind"))
 
 
 @query("SELECT page_id AS id, regexp_replace(lower(url), '^(?:https://|http://)', '') AS doi FROM pages")
